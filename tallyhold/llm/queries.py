@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhold.llm import langid, toxicity
+from tallyhold.llm import decontaminate, langid, lines, packing, shards, toxicity, warc
 from tallyhold.llm.common import table
 
 
@@ -14,12 +14,32 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.measure(table(spark, sf_dir, "documents")).drop("clean_text")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.read(spark, warc.write(table(spark, sf_dir, "pages"))))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
+
+
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.materialise(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op5_language_id)}
+    return {f.__name__: f for f in (op1_toxicity, op2_line_rules, op3_warc, op4_decontamination, op5_language_id, op6_packing, op8_training_order)}
 
 
 def oracle_sql() -> dict[str, str]:
