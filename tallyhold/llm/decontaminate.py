@@ -50,7 +50,8 @@ def windows(items: DataFrame, size: int = 10, *, id_col: str = "item_id", text_c
 
 def build_index(docs: DataFrame, terms: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Postings (uid, doc_id, term, pos) of the given terms; a row with a null term has a text's number of words as pos."""
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.posexplode(F.array_append(words(F.col(text_col).cast("string")), F.lit(None).cast("string"))).alias("pos", "term"))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), words(F.col(text_col).cast("string")).alias("words"))
+    rows = rows.select("uid", "doc_id", F.posexplode(F.array_append("words", F.lit(None).cast("string"))).alias("pos", "term"))
     known = _bounded(terms).withColumn("known", F.lit(True))
     return staged(rows.join(known, "term", "left").where(F.col("term").isNull() | F.col("known")).select("uid", "doc_id", "term", "pos"), "postings")
 
