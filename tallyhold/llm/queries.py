@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhold.llm import decontaminate, langid, lines, packing, shards, toxicity, warc
+from tallyhold.llm import decontaminate, langid, lattice, lines, packing, setjoin, shards, toxicity, warc
 from tallyhold.llm.common import table
 
 
@@ -34,12 +34,20 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op7_heavy_light_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.components(table(spark, sf_dir, "documents")).drop("uid")
+
+
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.materialise(table(spark, sf_dir, "documents"))
 
 
+def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_line_rules, op3_warc, op4_decontamination, op5_language_id, op6_packing, op8_training_order)}
+    return {f.__name__: f for f in (op1_toxicity, op2_line_rules, op3_warc, op4_decontamination, op5_language_id, op6_packing, op7_heavy_light_join, op8_training_order, op10_lattice)}
 
 
 def oracle_sql() -> dict[str, str]:
