@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhold.llm import decontaminate, langid, lattice, lines, packing, setjoin, shards, toxicity, warc
+from tallyhold.llm import decontaminate, langid, lattice, lines, packing, repeats, setjoin, shards, toxicity, warc
 from tallyhold.llm.common import table
 
 
@@ -42,12 +42,16 @@ def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.materialise(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.remove(table(spark, sf_dir, "documents")))
+
+
 def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_line_rules, op3_warc, op4_decontamination, op5_language_id, op6_packing, op7_heavy_light_join, op8_training_order, op10_lattice)}
+    return {f.__name__: f for f in (op1_toxicity, op2_line_rules, op3_warc, op4_decontamination, op5_language_id, op6_packing, op7_heavy_light_join, op8_training_order, op9_suffix_dedup, op10_lattice)}
 
 
 def oracle_sql() -> dict[str, str]:
