@@ -58,6 +58,17 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def without(docs: DataFrame, uids: DataFrame, at_most: int = 1_000_000) -> DataFrame:
+    """``docs`` less the rows of these numbers (column ``uid``, as ``monotonically_increasing_id`` gives them for a table).
+
+    The numbers are broadcast if there are few, else met by a shuffle. ``docs`` must be a table as read, so that its rows
+    have the same numbers each time.
+    """
+    gone = staged(uids.select(F.col("uid").alias("_uid")), "uids")
+    gone = F.broadcast(gone) if gone.count() <= at_most else gone
+    return docs.withColumn("_uid", F.monotonically_increasing_id()).join(gone, "_uid", "left_anti").drop("_uid")
+
+
 class RowTable(dict):
     """Maps a word to the row of ``make(word)`` in ``rows``; rows are computed once for each new word.
 

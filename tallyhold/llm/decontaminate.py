@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyhold.llm.common import lower_ascii, staged
+from tallyhold.llm.common import lower_ascii, staged, without
 
 #: Everything but digits, a-z and non-ASCII characters, after lower-casing.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -108,5 +108,10 @@ def hits(docs: DataFrame, items: DataFrame, *, size: int = 10, id_col: str = "do
     return out.select("uid", "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), (n_hit > 0).alias("contaminated"))
 
 
+def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` without any occurrence of a window, all columns as they are."""
+    return without(docs, hits(docs, items, **how).where("contaminated"))
+
+
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")

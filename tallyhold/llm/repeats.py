@@ -18,11 +18,11 @@ period are one segment and repeat within themselves. Other columns are never rea
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 import zstandard
@@ -253,27 +253,54 @@ def merged(blobs: list[bytes] | None) -> np.ndarray:
     return np.stack([pairs[first, 0], reach[np.r_[first[1:] - 1, len(pairs) - 1]]], 1)
 
 
+def _found(rows: DataFrame, size: int, gram: int, bucket_bytes: int, chunk: int) -> DataFrame:
+    """Spans (uid, blob) of the rows' (uid, text) repeated bytes."""
+    volume = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    buckets = max(1, -(-volume // bucket_bytes))
+    return _spans(_segments(rows, _repeated(_packed(rows, size, gram, buckets)), size, gram, buckets), size, chunk)
+
+
+def cut(text: bytes, blobs: list[bytes] | None) -> tuple[bytes, np.ndarray]:
+    """The text without the spans, and the spans."""
+    gone = merged(blobs)
+    edges = [0, *gone.ravel().tolist(), len(text)]
+    return b"".join(text[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)), gone
+
+
 def remove(docs: DataFrame, *, size: int = 200, gram: int = 64, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 6_000_000, chunk: int = 400_000) -> DataFrame:
     """uid, doc_id, n_bytes, spans (array of start and end), kept (binary) of every row."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("text"))
-    volume = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    buckets = max(1, -(-volume // bucket_bytes))
-    texts = rows.select("uid", "text")
-    repeated = _repeated(_packed(texts, size, gram, buckets))
-    spans = _spans(_segments(texts, repeated, size, gram, buckets), size, chunk)
+    spans = _found(rows.select("uid", "text"), size, gram, bucket_bytes, chunk)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 256):
-            kept, found = [], []
-            for text, blobs in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                gone = merged(blobs)
-                edges = np.r_[0, gone.ravel(), len(text)].tolist()
-                kept.append(b"".join(text[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)))
-                found.append([{"start": s, "end": e} for s, e in gone.tolist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.compute.cast(pa.compute.binary_length(b.column(2)), pa.int64()), pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=["uid", "doc_id", "n_bytes", "spans", "kept"])
+            got = [cut(*x) for x in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            found = [[{"start": s, "end": e} for s, e in gone.tolist()] for _, gone in got]
+            size_of = pa.compute.cast(pa.compute.binary_length(b.column(2)), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), size_of, pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([kept for kept, _ in got], pa.binary())], names=["uid", "doc_id", "n_bytes", "spans", "kept"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return _with(rows, spans, "left").select("uid", "doc_id", "text", "blobs").mapInArrow(cut, f"uid long, doc_id {kind}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    return _with(rows, spans, "left").select("uid", "doc_id", "text", "blobs").mapInArrow(run, f"uid long, doc_id {kind}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+
+
+def clean(docs: DataFrame, *, size: int = 200, gram: int = 64, text_col: str = "text", chars_col: str | None = "n_chars", bucket_bytes: int = 6_000_000, chunk: int = 400_000) -> DataFrame:
+    """``docs`` with repeated bytes taken out of the texts; bytes of characters that a cut has split go with it.
+
+    Texts without a repeat, null ones among them, are as they were. ``chars_col``, if the table has it, is counted anew.
+    """
+    rows = docs.withColumn("uid", F.monotonically_increasing_id())
+    texts = rows.select("uid", F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("text"))
+    spans = _found(texts, size, gram, bucket_bytes, chunk)
+
+    @F.pandas_udf("string")
+    def kept(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for text, blobs in batches:
+            yield pd.Series([t if f is None else cut(t.encode(), list(f))[0].decode("utf-8", "ignore") for t, f in zip(text, blobs, strict=True)], dtype=object)
+
+    out = _with(rows, spans, "left").withColumn(text_col, kept(F.col(text_col).cast("string"), "blobs"))
+    if chars_col in docs.columns:
+        out = out.withColumn(chars_col, F.when(F.col("blobs").isNull(), F.col(chars_col)).otherwise(F.length(text_col).cast(docs.schema[chars_col].dataType)))
+    return out.select(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -23,11 +23,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhold.llm.common import RowTable, crc_mod, hash_share, small_batches
+from tallyhold.llm.common import RowTable, crc_mod, hash_share
 from tallyhold.llm.subword import Bags, gram_ids, words_of
 
 
@@ -106,20 +106,32 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return fit([r.text for r in rows], [r.y for r in rows], count.get(1, 0) / max(1, total), seed=seed)
 
 
-def score(docs: DataFrame, model: Toxicity, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row of ``docs``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def score_column(spark: SparkSession, model: Toxicity, text: Column) -> Column:
+    """The score of a text column, as a column of the same rows."""
+    sent = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = sent.value
         seen = RowTable(own.word, 2)
-        for b in small_batches(batches):
-            s = own.scores(seen, b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
+        for texts in batches:
+            held = texts.tolist()
+            parts = [own.scores(seen, held[i : i + 512]) for i in range(0, len(held), 512)]
+            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+
+    return run(text.cast("string"))
+
+
+def score(docs: DataFrame, model: Toxicity, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row of ``docs``."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), score_column(docs.sparkSession, model, F.col(text_col)).alias("score"))
+    return rows.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
 
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    scored = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
-    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def clean(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", threshold: float = 0.3, **how) -> DataFrame:
+    """The rows of ``docs`` whose score is below the threshold, all columns as they are."""
+    model = train(docs, labels, text_col=text_col, **how)
+    return docs.where(score_column(docs.sparkSession, model, F.col(text_col)) < threshold)
 
 
 def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
