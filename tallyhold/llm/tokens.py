@@ -1,60 +1,95 @@
-"""Token ids of texts, as the ``tokenizers`` library gives them, with each distinct piece encoded once.
+"""Token ids of texts by a public byte-level BPE, with each distinct piece of text encoded once.
 
-A byte-level BPE never merges across the pieces that its pre-tokenizer cuts, so a text's ids are the ids of its
-pieces in order. Pieces repeat a lot; they are kept as packed ids, and only new ones go to the library. Texts with
-characters outside the Latin blocks and common punctuation, or with the string of an added token, go to the
-library whole: there the piece pattern here and the library's could differ.
+The pre-tokenizer of this kind of vocabulary always cuts before a space that stands between two characters that
+aren't white space, and merges never cross a cut. So a text's ids are, in order, the ids of its parts between such
+spaces, each with its leading space. Parts repeat a lot: their packed ids are kept, and only new ones go to the library.
+Texts in which a space meets other white space go to the library whole.
 """
 
 from __future__ import annotations
 
+import base64
+from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain, islice
+from operator import itemgetter
 
 import numpy as np
 import public_tokenizers
-import regex
-from tokenizers import Tokenizer
 
-DEFAULT = "byte_bpe_50k.json"
-#: The public pre-tokenizer pattern of this vocabulary; texts on which ``regex`` and the library agree.
-PIECES = regex.compile(public_tokenizers.PATTERN)
-PLAIN = regex.compile("[\\x00-\\x1b\\x20-\\u024f\\u2010-\\u2027\\u20ac]*")
+#: The same vocabulary for two libraries, ``tokenizers`` and ``tiktoken``.
+DEFAULT, DEFAULT_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+
+
+def encoder(path: str) -> tuple[Callable[[list[str]], list[list[int]]], list[bytes]]:
+    """A function from texts to ids, without special tokens, and the bytes of each id; the library goes by the file's ending."""
+    if path.endswith(".tiktoken"):
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [own.encode_ordinary(t) for t in texts], sorted(ranks, key=ranks.get)
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    return lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)], [tok.decode([i], skip_special_tokens=False).encode() for i in range(tok.get_vocab_size())]
+
+_REST = itemgetter(slice(1, None))
 
 
 class PieceCache:
     """Encodes texts to little-endian unsigned ids of ``width`` bytes."""
 
-    def __init__(self, path: str, width: int = 4, cap: int = 400_000):
-        self.tok = Tokenizer.from_file(path)
-        self.kind = np.dtype(f"<u{width}")
-        if self.tok.get_vocab_size() > 256**width:
+    def __init__(self, path: str, width: int = 4, cap: int = 1_600_000):
+        self.ids_of, strings = encoder(path)
+        self.opens = np.array([x.startswith(b" ") for x in strings])
+        if len(strings) > 256**width:
             raise ValueError(f"ids of {path} don't fit in {width} bytes")
-        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.kind = np.dtype(f"<u{width}")
+        #: None: a part whose edge isn't a cut
+        self.known: dict[str, bytes | None] = {}
+        self.heads: dict[str, bytes] = {}
         self.cap = cap
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
+    def _learn(self, parts: list[str], run: int = 1000) -> None:
+        """Encode parts without white space; only a part's first id begins with a space, so one call takes many."""
+        for i in range(0, len(parts), run):
+            some = parts[i : i + run]
+            ids = np.array(self.ids_of([f" {' '.join(some)}"])[0], self.kind)
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) != len(some):
+                raise ValueError("ids that don't begin where their parts do")
+            packed, ends = ids.tobytes(), [*(at * self.kind.itemsize).tolist(), len(ids) * self.kind.itemsize]
+            self.known.update(zip(some, map(packed.__getitem__, map(slice, ends[:-1], ends[1:])), strict=True))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        new: set[str] = set()
         if len(self.known) > self.cap:
-            self.known.clear()
-        for text in texts:
-            pieces = None
-            if not text:
-                pieces = []
-            elif PLAIN.fullmatch(text) and not any(a in text for a in self.added):
-                pieces = PIECES.findall(text)
-                new.update(p for p in pieces if p not in self.known)
-            cut.append(pieces)
-        if new:
-            fresh = list(new)
-            for piece, enc in zip(fresh, self.tok.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                self.known[piece] = self.pack(enc.ids)
-        get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) if pieces is not None else self.pack(self.tok.encode(text, add_special_tokens=False).ids) for text, pieces in zip(texts, cut, strict=True)]
+            # the parts that came first are the frequent ones
+            self.known = dict(islice(self.known.items(), self.cap // 2))
+        if len(self.heads) > self.cap // 10:
+            self.heads.clear()
+        cut = [(t or "").split(" ") for t in texts]
+        new = set(chain.from_iterable(map(_REST, cut))).difference(self.known)
+        whole = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
+        self.known.update(dict.fromkeys(new))
+        self._learn([p for p in whole if "<|" not in p])
+        odd = [p for p in whole if "<|" in p]
+        self.known.update(zip(odd, map(self.pack, self.ids_of([f" {p}" for p in odd])), strict=True))
+        heads = list({parts[0] for parts in cut}.difference(self.heads))
+        self.heads.update(zip(heads, map(self.pack, self.ids_of(heads)), strict=True))
+        get, out = self.known.__getitem__, []
+        for text, parts in zip(texts, cut, strict=True):
+            head = parts[0]
+            rest = list(map(get, islice(parts, 1, None)))
+            if None in rest or (rest and (not head or head[-1].isspace())):
+                out.append(self.pack(self.ids_of([text])[0]))
+            else:
+                out.append(self.heads[head] + b"".join(rest))
+        return out
 
 
 @lru_cache(maxsize=2)
