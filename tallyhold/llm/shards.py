@@ -6,11 +6,11 @@ sequence goes to the global slot P(i), each slot gets one sequence, and P needs
 slots from k * per_shard on, in order; every record has the same stride, so slot s is the bytes from
 (s mod per_shard) * stride of its shard, and a reader that stopped goes on from any slot.
 
-Scale. Two scans: the first counts the sequences of each input partition (one number a partition comes to the
-driver), the second tokenises again (cheaper than keeping the ids on disk) and sends each sequence once, compressed,
-to the task that writes its shard. Slots are uniform, so shards and tasks are even whatever the input's skew. A
-shard is written under a name of its attempt and then moved, so a lost executor's shard is simply written again.
-The second scan checks its counts against the first.
+Scale. The texts are tokenised once; their sequences are staged, compressed in groups, with their partition and number
+there. The number of sequences of each partition (a row a partition comes to the driver) gives every sequence its index,
+and the permutation its slot. Sequences go, in compressed groups for each task and shard, to the task that writes their
+shard. Slots are uniform, so shards and tasks are even whatever the input's skew. A shard is held and written by one task,
+under a name of its attempt that is then moved, so a lost executor's shard is simply written again.
 
 Edge cases. A null or empty text is the end id alone; repeated rows are kept; very long texts run over many
 sequences; an empty table writes no shard and returns no row; other columns are never read.
@@ -22,6 +22,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby, islice
 
 import numpy as np
 import public_tokenizers
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhold.llm.common import fresh_path, small_batches, staged
-from tallyhold.llm.tokens import DEFAULT, pieces
+from tallyhold.llm.tokens import DEFAULT_RANKS, pieces
 
 
 @dataclass(frozen=True)
@@ -86,76 +87,92 @@ def sequences(batches: Iterator[pa.RecordBatch], path: str, width: int, size: in
         yield bytes(held) + cache.pack([pad_id]) * (size - len(held) // width), len(held) // width, docs
 
 
-def materialise(docs: DataFrame, path: str | None = None, *, size: int = 2048, per_shard: int = 4096, key: bytes = b"training order", end_id: int = 1, pad_id: int = 0, width: int = 2, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def materialise(docs: DataFrame, path: str | None = None, *, size: int = 2048, per_shard: int = 4096, key: bytes = b"training order", end_id: int = 1, pad_id: int = 0, width: int = 2, tokenizer: str | None = None, group: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards under ``path`` and return a row for each sequence.
 
     slot, shard, byte_offset, n_tokens (without padding), ids_crc32 (of the record), doc_ids (in order), file.
     """
-    spark, tok = docs.sparkSession, tokenizer or public_tokenizers.path(DEFAULT)
+    spark, tok = docs.sparkSession, tokenizer or public_tokenizers.path(DEFAULT_RANKS)
     path = path or fresh_path(spark, "shards")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(1 for _ in sequences(batches, tok, width, size, end_id, pad_id))
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64())], names=["part", "n"])
-
-    counts = {r.part: r.n for r in rows.mapInArrow(count, "part long, n long").collect()}
-    first, total = {}, 0
+    members = pa.list_(pa.list_(pa.int64()))
+
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, packer, first = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=6), 0
+        found = sequences(batches, tok, width, size, end_id, pad_id)
+        while held := list(islice(found, group)):
+            ids, real, docs_of = zip(*held, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([first]), pa.array([list(real)], pa.list_(pa.int64())), pa.array([docs_of], members), pa.array([packer.compress(b"".join(ids))], pa.binary())], names=["part", "first", "n_tokens", "doc_ids", "ids"])
+            first += len(held)
+
+    held = staged(rows.mapInArrow(tokenise, "part long, first long, n_tokens array<long>, doc_ids array<array<long>>, ids binary"), "sequences")
+    counts = {r.part: r.n for r in held.groupBy("part").agg(F.sum(F.size("n_tokens")).alias("n")).collect()}
+    start, total = {}, 0
     for part in sorted(counts):
-        first[part], total = total, total + counts[part]
-    order = Feistel(max(1, total), key)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, packer, held, n = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1), [], 0
-
-        def out() -> pa.RecordBatch:
-            slot = order(np.arange(first[part] + n - len(held), first[part] + n))
-            return pa.RecordBatch.from_arrays([pa.array(slot // per_shard, pa.int32()), pa.array(slot, pa.int64()), pa.array([h[1] for h in held], pa.int64()), pa.array([h[2] for h in held], pa.list_(pa.int64())), pa.array([packer.compress(h[0]) for h in held], pa.binary())], names=["shard", "slot", "n_tokens", "doc_ids", "ids"])
-
-        for ids, real, members in sequences(batches, tok, width, size, end_id, pad_id):
-            held.append((ids, real, members))
-            n += 1
-            if len(held) == 256:
-                yield out()
-                held.clear()
-        if held:
-            yield out()
-        if n != counts.get(part, 0):
-            raise RuntimeError(f"partition {part} gave {n} sequences, {counts.get(part, 0)} when counted")
+        start[part], total = total, total + counts[part]
+    order, stride, shards = Feistel(max(1, total), key), size * width, -(-total // per_shard)
+    schema = "slot long, shard int, byte_offset long, n_tokens long, ids_crc32 long, doc_ids array<long>, file string"
+    if not total:
+        return spark.createDataFrame([], schema)
 
-    stride, shards = size * width, -(-total // per_shard)
+    def place(batches: Iterator[pa.RecordBatch], most: int = 12_000) -> Iterator[pa.RecordBatch]:
+        opener, packer, slots, real, docs_of, records = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=6), [], [], [], []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            slot = np.array(slots, np.int64)
+            by = np.argsort(slot)
+            for own in np.split(by, np.flatnonzero(np.diff(slot[by] // per_shard)) + 1):
+                pick = own.tolist()
+                blob = packer.compress(b"".join(records[i] for i in pick))
+                yield pa.RecordBatch.from_arrays([pa.array([slots[pick[0]] // per_shard], pa.int32()), pa.array([[slots[i] for i in pick]], pa.list_(pa.int64())), pa.array([[real[i] for i in pick]], pa.list_(pa.int64())), pa.array([[docs_of[i] for i in pick]], members), pa.array([blob], pa.binary())], names=["shard", "slots", "n_tokens", "doc_ids", "ids"])
+
+        for b in small_batches(batches, 16):
+            for part, first, tokens, docs_in, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                raw, n = opener.decompress(ids, max_output_size=group * stride), len(tokens)
+                slots += order(np.arange(start[part] + first, start[part] + first + n)).tolist()
+                real += tokens
+                docs_of += docs_in
+                records += [raw[i * stride : (i + 1) * stride] for i in range(n)]
+            if len(slots) >= most:
+                yield from out()
+                for kept in (slots, real, docs_of, records):
+                    kept.clear()
+        if slots:
+            yield from out()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path)
-        opener, file, shard, names = zstandard.ZstdDecompressor(), None, None, ("", "")
-
-        def close() -> None:
-            if file:
-                file.close()
-                store.move(*names)
-
-        for b in batches:
-            crc = []
-            for k, ids in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), strict=True):
-                if k != shard:
-                    close()
-                    name = f"{root}/shard-{k:07d}.bin"
-                    shard, names = k, (f"{name}.{TaskContext.get().taskAttemptId()}", name)
-                    file = store.open_output_stream(names[0])
-                record = opener.decompress(ids, max_output_size=stride)
-                file.write(record)
-                crc.append(zlib.crc32(record))
-            slot = b.column(1).to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(slot % per_shard * stride, pa.int64()), b.column(2), pa.array(crc, pa.int64()), b.column(3), pa.array([f"shard-{k:07d}.bin" for k in b.column(0).to_pylist()], pa.string())], names=["slot", "shard", "byte_offset", "n_tokens", "ids_crc32", "doc_ids", "file"])
-        close()
+        opener = zstandard.ZstdDecompressor()
+
+        def finish(shard: int, slots: list, real: list, docs_of: list, records: list) -> pa.RecordBatch:
+            by = np.argsort(np.array(slots, np.int64)).tolist()
+            name = f"shard-{shard:07d}.bin"
+            own = f"{root}/{name}.{TaskContext.get().taskAttemptId()}"
+            with store.open_output_stream(own) as file:
+                for i in by:
+                    file.write(records[i])
+            store.move(own, f"{root}/{name}")
+            slot = np.array(slots, np.int64)[by]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(slot), pa.array(np.full(len(by), shard), pa.int32()), pa.array(slot % per_shard * stride), pa.array([real[i] for i in by], pa.int64()), pa.array([zlib.crc32(records[i]) for i in by], pa.int64()), pa.array([docs_of[i] for i in by], pa.list_(pa.int64())), pa.array([name] * len(by), pa.string())],
+                names=["slot", "shard", "byte_offset", "n_tokens", "ids_crc32", "doc_ids", "file"],
+            )
+
+        groups = (r for b in small_batches(batches, 16) for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for shard, parts in groupby(groups, lambda r: r[0]):
+            slots, real, docs_of, records = [], [], [], []
+            for _, slot, tokens, docs_in, ids in parts:
+                raw = opener.decompress(ids, max_output_size=per_shard * stride)
+                slots += slot
+                real += tokens
+                docs_of += docs_in
+                records += [raw[i * stride : (i + 1) * stride] for i in range(len(slot))]
+            yield finish(shard, slots, real, docs_of, records)
 
-    schema = "slot long, shard int, byte_offset long, n_tokens long, ids_crc32 long, doc_ids array<long>, file string"
-    if not total:
-        return spark.createDataFrame([], schema)
     store, root = fs.FileSystem.from_uri(path)
     store.create_dir(root, recursive=True)
-    placed = rows.mapInArrow(place, "shard int, slot long, n_tokens long, doc_ids array<long>, ids binary")
-    return staged(placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot").mapInArrow(write, schema), "shard-index")
+    placed = held.mapInArrow(place, "shard int, slots array<long>, n_tokens array<long>, doc_ids array<array<long>>, ids binary")
+    return staged(placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(write, schema), "shard-index")
 
 
 def read(path: str, shard: int, start: int, n: int, *, size: int = 2048, width: int = 2) -> np.ndarray:
