@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tallyhold.errors import ConfigError
 from tallyhold.functions.crypto import ChunkTransform, Identity
-from tallyhold.functions.hashing import content_hash, supported
+from tallyhold.functions.hashing import content_hash
 
 DEFAULT_AVERAGE = 1 << 20
 LEAST_AVERAGE = 256
@@ -127,16 +127,16 @@ def coverage(rows: DataFrame) -> DataFrame:
 
 
 def restored(rows: DataFrame, chunk_store: DataFrame, transform: ChunkTransform | None = None) -> DataFrame:
-    """content, data, error of each content: error says what failed first (missing, corrupt, undecipherable, length, hash).
+    """content, data, error of each content: error says what failed first (version, missing, corrupt, undecipherable, length, hash).
 
     Nothing of a content that doesn't verify is given: its data is null.
     """
-    rows = plain_lengths(rows.withColumn("version", supported(F.col("version"))))
+    rows = plain_lengths(rows)
     got = rows.join(chunk_store.select("chunk_id", "data"), "chunk_id", "left")
     plain: Column = (transform or Identity()).reverse(F.col("data"))
     got = got.withColumn("plain", plain)
     fault = (
-        F.when(F.col("data").isNull(), "missing").when(content_hash(F.col("data")) != F.col("chunk_id"), "corrupt").when(F.col("plain").isNull(), "undecipherable").when(F.octet_length("plain") != F.col("length"), "length")
+        F.when(F.col("version") != 1, "version").when(F.col("data").isNull(), "missing").when(content_hash(F.col("data")) != F.col("chunk_id"), "corrupt").when(F.col("plain").isNull(), "undecipherable").when(F.octet_length("plain") != F.col("length"), "length")
     )
     parts = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "plain"))), lambda x: x["plain"])
     whole = got.withColumn("fault", fault).groupBy("content").agg(parts.alias("parts"), F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("ordinal"))).alias("error"))

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhold.errors import ChainError, ConfigError, IntegrityError, NotFoundError
+from tallyhold.errors import ChainError, ConfigError, IntegrityError, NotFoundError, UnsupportedVersionError
 from tallyhold.functions.clock import HybridClock
 from tallyhold.functions.crypto import ChunkTransform, Identity, load_or_create_key, public_key
 from tallyhold.operators import chain, chunking, inventory, projection, scan
@@ -133,6 +133,8 @@ class Engine:
             data = b""
         else:
             got = chunking.restored(rows, self.store.chunks(), self.transform).first()
+            if got.error == "version":
+                raise UnsupportedVersionError(f"the manifest of {content}")
             if got.error == "missing":
                 raise NotFoundError(f"a chunk of {content}")
             if got.error:
