@@ -10,7 +10,7 @@ by sorting the hashes of a text's windows; only texts that have any pay for find
 the repeated hashes where those are few and by sorting (hash, place) pairs where they are many. Both ways count the same.
 
 Edge cases. Null and empty texts have no words, all measures 0, and fail the base. Repeated rows are judged each;
-other columns pass by untouched; an empty table gives an empty result. A text without a terminal mark anywhere, in
+other columns are never read; an empty table gives an empty result. A text without a terminal mark anywhere, in
 any line, is judged by the other two rules only: scripts and layouts without them aren't junk.
 """
 
@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]"
 #: Marks that end a sentence, marks between links, phrases of page furniture.
-TERMINAL = r"[.!?:;…。！？]['\"”»)\]]*(\s|$)"
+TERMINAL = r"[.!?:;…。！？]['\"”»)\]]*([\x20\x09-\x0D]|\z)"
 SYMBOLS = r"[#*$%&|<>]"
 SEPARATOR = r"[|»›•·]|>>|::"
-NAVIGATION = r"(?i)^(home|menu|next|previous|prev|back|top|login|log in|sign in|sign up|register|search|share|print|skip to [a-z ]+|read more|click here|contact us|about us|sitemap)\b.{0,20}$"
-BOILERPLATE = r"(?i)\b(cookies? (policy|settings|notice)|we use cookies|enable javascript|javascript is (disabled|required)|privacy policy|terms (of|and) (use|service|conditions)|all rights reserved|lorem ipsum|licensed under the|subscribe to our newsletter|powered by)\b|©"
+NAVIGATION = r"(?i)^(home|menu|next|previous|prev|back|top|login|log in|sign in|sign up|register|search|share|print|skip to [a-z ]+|read more|click here|contact us|about us|sitemap)([^a-z][^\n]{0,20})?\z"
+BOILERPLATE = r"(?i)(^|[^a-z])(cookies? (policy|settings|notice)|we use cookies|enable javascript|javascript is (disabled|required)|privacy policy|terms (of|and) (use|service|conditions)|all rights reserved|lorem ipsum|licensed under the|subscribe to our newsletter|powered by)([^a-z]|\z)|©"
 FEW = 64
 
 

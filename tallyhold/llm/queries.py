@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhold.llm import decontaminate, langid, lattice, lines, packing, repeats, setjoin, shards, toxicity, warc
+from tallyhold.llm import decontaminate, langid, lattice, lines, oracles, packing, repeats, setjoin, shards, toxicity, warc
 from tallyhold.llm.common import table
 
 
@@ -55,4 +55,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it can express; the trained, packed and permuted ones are held against plain versions in tests."""
+    return {"op2_line_rules": oracles.OP2, "op3_warc": oracles.OP3, "op4_decontamination": oracles.OP4, "op7_heavy_light_join": oracles.OP7, "op9_suffix_dedup": oracles.OP9}
