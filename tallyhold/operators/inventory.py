@@ -8,20 +8,25 @@ from pyspark.sql import functions as F
 from tallyhold.functions.hashing import age, is_hash, seconds, under
 
 
-def is_duplicate() -> Column:
-    return F.size("live_locations") > 1
+def _live(contents: DataFrame) -> Column:
+    """The number of live locations, of an index with locations or with their number."""
+    return F.col("live") if "live" in contents.columns else F.size("live_locations")
 
 
-def is_orphan() -> Column:
-    return F.col("backed_up") & (F.size("live_locations") == 0)
+def is_duplicate(contents: DataFrame) -> Column:
+    return _live(contents) > 1
+
+
+def is_orphan(contents: DataFrame) -> Column:
+    return F.col("backed_up") & (_live(contents) == 0)
 
 
 def duplicates(contents: DataFrame) -> DataFrame:
-    return contents.where(is_duplicate())
+    return contents.where(is_duplicate(contents))
 
 
 def orphans(contents: DataFrame) -> DataFrame:
-    return contents.where(is_orphan())
+    return contents.where(is_orphan(contents))
 
 
 def history(locations: DataFrame, content: str | Column) -> DataFrame:
@@ -48,17 +53,17 @@ def totals(contents: DataFrame) -> DataFrame:
     """One row: contents, live locations, duplicates, orphans, bytes backed up."""
     return contents.agg(
         F.count("*").alias("contents"),
-        F.coalesce(F.sum(F.size("live_locations")), F.lit(0)).alias("locations"),
-        F.count_if(is_duplicate()).alias("duplicates"),
-        F.count_if(is_orphan()).alias("orphans"),
+        F.coalesce(F.sum(_live(contents)), F.lit(0)).alias("locations"),
+        F.count_if(is_duplicate(contents)).alias("duplicates"),
+        F.count_if(is_orphan(contents)).alias("orphans"),
         F.coalesce(F.sum(F.when(F.col("backed_up"), F.col("size"))), F.lit(0)).alias("backed_bytes"),
     )
 
 
-def backup_worklist(contents: DataFrame, machine: str | Column) -> DataFrame:
+def backup_worklist(facts: DataFrame, locations: DataFrame, machine: str | Column) -> DataFrame:
     """content, size, path: what isn't backed up and lives on this machine, with the first of its paths there."""
-    here = F.filter("live_locations", lambda x: x["machine"] == machine)
-    return contents.where(~F.col("backed_up")).select("content", "size", F.get(here, F.lit(0))["path"].alias("path")).where(F.col("path").isNotNull())
+    here = locations.where((F.col("state") == "live") & (F.col("machine") == machine)).groupBy("content").agg(F.min("path").alias("path"))
+    return facts.where(~F.col("backed_up")).select("content", "size").join(here, "content")
 
 
 def new_segments(segments: DataFrame, synced: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ def resolve_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG9: totals."""
-    return inventory.totals(_contents(spark, sf_dir))
+    return inventory.totals(projection.fold(inventory_log(spark, sf_dir)).counts)
 
 
 @_query(with_log(" SELECT root, arg_max(files_seen, hlc) AS files_seen, arg_max(bytes_seen, hlc) AS bytes_seen, max(hlc) AS last_pass_hlc FROM log WHERE action = 'pass_completed' GROUP BY root"))
@@ -150,7 +150,7 @@ WHERE c.backed_up AND c.live = 0 AND {NOW} - t.last_vanished >= 86400000000000""
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T11, JN7, AGG12, ORD1: orphans that may go."""
     found = projection.fold(inventory_log(spark, sf_dir))
-    return inventory.retention(found.contents, found.locations, NOW, 86_400)
+    return inventory.retention(found.counts, found.locations, NOW, 86_400)
 
 
 @_query(with_log(", manifests AS (SELECT DISTINCT content FROM log WHERE action = 'backed'), going AS (" + RETENTION + ") SELECT content FROM manifests WHERE content NOT IN (SELECT content FROM going)", LOCATION_SQL, CONTENT_SQL))
@@ -162,7 +162,8 @@ def gc_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(with_log(" SELECT i.content, i.size, min(l.path) AS path FROM content_index i JOIN location_state l ON i.content = l.content AND l.state = 'live' AND l.machine = '1' WHERE NOT i.backed_up GROUP BY i.content, i.size", LOCATION_SQL, CONTENT_SQL))
 def backup_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT11, LIM2, JN4: what machine 1 has to back up."""
-    return inventory.backup_worklist(_contents(spark, sf_dir), "1")
+    found = projection.fold(inventory_log(spark, sf_dir))
+    return inventory.backup_worklist(found.facts, found.locations, "1")
 
 
 SEGMENTS_SQL = "\nsegments AS (SELECT machine, (seq // 16) * 16 AS seq_start, max(seq) AS seq_end, count(*) AS n FROM log GROUP BY machine, seq // 16)"
@@ -372,7 +373,8 @@ def manifest_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(
     with_log(
         """, rows AS (SELECT sha256(concat_ws('|', content, size, CAST(backed_up AS VARCHAR), first_seen, last_seen, places)) AS h FROM content_index),
-parts AS (SELECT substr(h, 1, 2) AS part, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM rows GROUP BY 1) SELECT sha256(string_agg(digest, '' ORDER BY part)) AS state_hash FROM parts""",
+sums AS (SELECT k, CAST(sum(CAST('0x' || substr(h, 1 + 7 * k, 7) AS BIGINT)) AS VARCHAR) AS p FROM rows, (SELECT unnest(range(9)) AS k) GROUP BY k)
+SELECT sha256((SELECT CAST(count(*) AS VARCHAR) FROM rows) || '|' || string_agg(p, '|' ORDER BY k)) AS state_hash FROM sums""",
         LOCATION_SQL,
         CONTENT_SQL,
     )

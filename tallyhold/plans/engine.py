@@ -107,7 +107,8 @@ class Engine:
         return self._with_backup(PassSummary())
 
     def _with_backup(self, summary: PassSummary) -> PassSummary:
-        work = inventory.backup_worklist(self.projection().contents, self.machine)
+        found = self.projection()
+        work = inventory.backup_worklist(found.facts, found.locations, self.machine)
         data = files.loaded(work).persist()
         try:
             if data.isEmpty():
@@ -174,7 +175,7 @@ class Engine:
         return chain.check_own(chain.verify(rows.drop("seq_start"), heads.drop("n"), signatures=True), heads)
 
     def status(self) -> DataFrame:
-        return inventory.totals(self.projection().contents)
+        return inventory.totals(self.projection().counts)
 
     def candidates(self, retain_seconds: int | None = None, now: int | None = None) -> DataFrame:
         keep = self.config.retain_seconds if retain_seconds is None else retain_seconds
@@ -182,7 +183,7 @@ class Engine:
             raise ConfigError("no retention is set")
         found = self.projection()
         last = self.log().agg(F.max("hlc")).first()[0] or 0
-        return inventory.retention(found.contents, found.locations, max(last, time.time_ns()) if now is None else now, keep)
+        return inventory.retention(found.counts, found.locations, max(last, time.time_ns()) if now is None else now, keep)
 
     def collect_garbage(self, candidates: DataFrame) -> DataFrame:
         """Take back the manifests of the candidates, and return these; chunks and scanned files stay."""

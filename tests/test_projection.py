@@ -122,7 +122,7 @@ def test_resolution_and_work_list(spark):
     targets = spark.createDataFrame([(a.upper(),), ("/c",), ("/none",)], "target string")
     got = {r.target: r.content for r in inventory.resolve(projection.path_to_content(p.locations, by_machine=False), targets).collect()}
     assert got == {a.upper(): a, "/c": "cc", "/none": None}
-    assert [tuple(r) for r in inventory.backup_worklist(p.contents, "m1").collect()] == [(a, 64, "/a")]
+    assert [tuple(r) for r in inventory.backup_worklist(p.facts, p.locations, "m1").collect()] == [(a, 64, "/a")]
 
 
 def test_segments_to_take_and_to_drop(spark):
