@@ -31,11 +31,12 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhold.llm.common import crc_mod, small_batches, staged
+from tallyhold.llm.common import crc_mod, small_batches, staged, tidy
 
 MARK = "▁"
 LN10 = math.log(10)
-LONG = 200
+#: Up to so many characters the products of a word's probabilities stay well within a double's range.
+LONG = 60
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -63,7 +64,7 @@ class Lattice:
                 if len(p) == 1:
                     self.single.add(p)
         self.trie.make_automaton()
-        self.value = self.logs.tolist()
+        self.value, self.likely = self.logs.tolist(), np.exp(self.logs).tolist()
 
     def __reduce__(self):
         return Lattice, (self.pieces, self.logs, self.end)
@@ -84,7 +85,7 @@ class Lattice:
         alpha = [-math.inf] * (len(marked) + 1)
         alpha[0] = 0.0
         exp, log1p = math.exp, math.log1p
-        if all(c in single for c in marked):
+        if single.issuperset(marked):
             steps = ((e + 1 - n, e + 1, value[i]) for e, (n, i) in self.trie.iter(marked))
         else:
             steps = ((s, e, sum(value[i] for i in ids)) for s, e, ids in self.edges(word))
@@ -95,32 +96,29 @@ class Lattice:
             alpha[e] = b + log1p(exp(a - b)) if a > -math.inf else b
         return alpha[-1]
 
-    def expect(self, word: str, weight: float, into: np.ndarray) -> None:
-        """Add the expected count of each piece in the word, times ``weight``."""
-        edges, value, n = self.edges(word), self.value, len(word) + 1
-        if n > LONG:
-            self._expect_long(edges, n, weight, into)
+    def expect(self, word: str, weight: float, into: list[float]) -> None:
+        """Add the expected count of each piece in the word, times ``weight``: forward, then backward over its edges."""
+        marked, n = MARK + word, len(word) + 1
+        if n > LONG or not self.single.issuperset(marked):
+            self._expect_long(self.edges(word), n, weight, into)
             return
-        exp = math.exp
-        p = [exp(value[ids[0]]) if len(ids) == 1 else exp(sum(value[i] for i in ids)) for _, _, ids in edges]
-        # a scale for each character keeps the products of a word of up to LONG characters within a double's range
         alpha, beta = [0.0] * (n + 1), [0.0] * (n + 1)
         alpha[0] = beta[n] = 1.0
-        for (s, e, _), v in zip(edges, p, strict=True):
-            alpha[e] += alpha[s] * v * _SCALE[e - s] if e - s < 32 else alpha[s] * v * _UP ** (e - s)
-        by_start = sorted(range(len(edges)), key=lambda k: -edges[k][0])
-        for k in by_start:
-            s, e, _ = edges[k]
-            beta[s] += beta[e] * p[k] * _UP ** (e - s)
-        if not alpha[n] > 0:
-            self._expect_long(edges, n, weight, into)
-            return
-        for (s, e, ids), v in zip(edges, p, strict=True):
-            share = weight * alpha[s] * v * _UP ** (e - s) * beta[e] / alpha[n]
-            for i in ids:
-                into[i] += share
-
-    def _expect_long(self, edges: list, n: int, weight: float, into: np.ndarray) -> None:
+        likely, found = self.likely, []
+        for e, (k, i) in self.trie.iter(marked):
+            e += 1
+            s = e - k
+            p = likely[i]
+            alpha[e] += alpha[s] * p
+            found.append((s, e, p, i))
+        # by descending end: all edges that begin where an edge ends have been seen
+        weight /= alpha[n]
+        for s, e, p, i in reversed(found):
+            p *= beta[e]
+            beta[s] += p
+            into[i] += alpha[s] * p * weight
+
+    def _expect_long(self, edges: list, n: int, weight: float, into: list[float]) -> None:
         alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
         alpha[0] = beta[n] = 0.0
         values = [sum(self.value[i] for i in ids) for _, _, ids in edges]
@@ -135,11 +133,6 @@ class Lattice:
                 into[i] += share
 
 
-#: About the inverse of the probability that a character costs.
-_UP = 10.0
-_SCALE = [_UP**k for k in range(32)]
-
-
 def first_lattice(path: str | None = None) -> Lattice:
     """The vocabulary with its own scores as weights: a piece of rank r (its score is -r) weighs 1 / (r + 10)."""
     own = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path("piece_bpe_32k.model"))
@@ -156,9 +149,10 @@ def first_lattice(path: str | None = None) -> Lattice:
         return Lattice(pieces, np.log(w), math.log(1e-3 / (1 + 1e-3)))
 
 
-def count_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, flush: int = 400_000) -> DataFrame:
+def count_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, flush: int = 250_000) -> DataFrame:
     """word, n_train, n_all: counts in the training rows (crc32 mod ``mod`` isn't 2) and in all rows; staged."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
 
@@ -170,7 +164,7 @@ def count_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                     yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 50_000], pa.binary()).cast(pa.string()), pa.array(part * n, pa.int64()), pa.array(part, pa.int64())], names=["word", "n_train", "n_all"])
                 counter.clear()
 
-        for b in batches:
+        for b in small_batches(batches):
             for train, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seen[train].update(words_of(text))
             if len(seen[0]) + len(seen[1]) > flush:
@@ -182,7 +176,7 @@ def count_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return staged(found.groupBy("word").agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all")), "words")
 
 
-def fit(counts: DataFrame, train_docs: int, start: Lattice, *, rounds: int = 2, smooth: float = 0.1) -> Lattice:
+def fit(counts: DataFrame, train_docs: int, start: Lattice, *, rounds: int = 3, smooth: float = 0.1) -> Lattice:
     """Expectation-maximisation over all training words; ``smooth`` is added to each piece's count."""
     spark, now = counts.sparkSession, start
     if not train_docs:
@@ -193,10 +187,11 @@ def fit(counts: DataFrame, train_docs: int, start: Lattice, *, rounds: int = 2,
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = sent.value
-            total = np.zeros(len(own.pieces))
+            sums = [0.0] * len(own.pieces)
             for b in batches:
                 for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    own.expect(word, float(n), total)
+                    own.expect(word, float(n), sums)
+            total = np.array(sums)
             ids = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(total[ids], pa.float64())], names=["piece", "n"])
 
@@ -208,11 +203,11 @@ def fit(counts: DataFrame, train_docs: int, start: Lattice, *, rounds: int = 2,
         whole = expected.sum() + train_docs
         with np.errstate(divide="ignore"):
             now = Lattice(start.pieces, np.log(expected / whole), math.log(train_docs / whole))
-        sent.unpersist()
+        sent.destroy()
     return now
 
 
-def score(docs: DataFrame, *, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, rounds: int = 2, hot_words: int = 300_000) -> DataFrame:
+def score(docs: DataFrame, *, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, rounds: int = 3, hot_words: int = 200_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``."""
     spark = docs.sparkSession
     counts = count_words(docs, id_col=id_col, text_col=text_col, mod=mod)
@@ -222,6 +217,7 @@ def score(docs: DataFrame, *, vocabulary: str | None = None, id_col: str = "doc_
     lattice = fit(counts, train_docs, first_lattice(vocabulary), rounds=rounds)
     sent = spark.sparkContext.broadcast(lattice)
 
+    @tidy
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for b in batches:
@@ -236,12 +232,15 @@ def score(docs: DataFrame, *, vocabulary: str | None = None, id_col: str = "doc_
             least = bits + 1
             break
         held += n
-    hot = {r.word.encode(): (math.log10(r.n_train + 1), r.logp, float(r.n_train > 0)) for r in known.where(F.col("n_all") >= 2**least).collect()}
-    table = spark.sparkContext.broadcast(hot)
+    hot = known.where(F.col("n_all") >= 2**least).collect()
+    # no word has a space in it
+    table = spark.sparkContext.broadcast((" ".join(r.word for r in hot).encode(), np.array([(math.log10(r.n_train + 1), r.logp, float(r.n_train > 0)) for r in hot], np.float64).reshape(-1, 3)))
+    del hot
 
+    @tidy
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = {w: i for i, w in enumerate(table.value)}
-        values = np.array(list(table.value.values()), np.float64).reshape(-1, 3)
+        words_held, values = table.value
+        ids = {w: i for i, w in enumerate(words_held.split())}
         for b in small_batches(batches, 256):
             uid, word, n, sums, doc = [], [], [], [], []
             for key, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -251,7 +250,7 @@ def score(docs: DataFrame, *, vocabulary: str | None = None, id_col: str = "doc_
                 got = values[rows[rows >= 0]].sum(0)
                 cold = Counter(w for w, i in zip(words, at, strict=True) if i < 0)
                 uid += [key] * (len(cold) + 1)
-                # no word has a space in it: a text's own row meets no word, and lies where its key sends it
+                # a text's own row meets no word, and lies where its key sends it
                 word += [b" %d" % key, *cold]
                 n += [len(words) + 1, *cold.values()]
                 sums += [got, *([np.zeros(3)] * len(cold))]
