@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -64,9 +66,36 @@ def without(docs: DataFrame, uids: DataFrame, at_most: int = 1_000_000) -> DataF
     The numbers are broadcast if there are few, else met by a shuffle. ``docs`` must be a table as read, so that its rows
     have the same numbers each time.
     """
-    gone = staged(uids.select(F.col("uid").alias("_uid")), "uids")
+    gone = staged(uids.select("uid"), "uids")
     gone = F.broadcast(gone) if gone.count() <= at_most else gone
-    return docs.withColumn("_uid", F.monotonically_increasing_id()).join(gone, "_uid", "left_anti").drop("_uid")
+    return numbered(docs).join(gone, "uid", "left_anti").select("row.*")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """uid and, as one struct, row: whatever the columns of ``docs`` are named, none can clash."""
+    return docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row"))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on, idle, beside stages that need it in the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's generator that gives its memory back when it ends."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
 
 
 class RowTable(dict):
@@ -76,7 +105,7 @@ class RowTable(dict):
     word still gets its exact row.
     """
 
-    def __init__(self, make: Callable[[str], tuple], width: int, cap: int = 600_000):
+    def __init__(self, make: Callable[[str], tuple], width: int, cap: int = 300_000):
         super().__init__()
         self._make, self._width, self._cap = make, width, cap
         self._rows, self._used, self._new = np.zeros((1024, width)), 0, []
