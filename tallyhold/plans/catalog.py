@@ -218,7 +218,7 @@ def chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 TAMPERED = "CASE CAST(machine AS BIGINT) % 5 WHEN 0 THEN 'non_contiguous' WHEN 1 THEN 'invalid_hash' WHEN 2 THEN 'broken_chain' WHEN 3 THEN 'tip_mismatch' END"
 
 
-@_query(with_log(f" SELECT machine, {TAMPERED} AS error, CASE WHEN CAST(machine AS BIGINT) % 5 < 3 THEN CASE WHEN CAST(machine AS BIGINT) % 5 = 0 THEN 3 ELSE 2 END END AS error_seq FROM (SELECT machine, count(*) AS n FROM log GROUP BY machine) WHERE n > 5"))
+@_query(with_log(f" SELECT machine, {TAMPERED} AS error, CAST(CASE WHEN CAST(machine AS BIGINT) % 5 < 3 THEN CASE WHEN CAST(machine AS BIGINT) % 5 = 0 THEN 3 ELSE 2 END END AS BIGINT) AS error_seq FROM (SELECT machine, count(*) AS n FROM log GROUP BY machine) WHERE n > 5"))
 def chain_tampered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T6: chains with an event taken out, a field, a link or the header's tip changed, by machine; the faults found."""
     rows = chain.linked(inventory_log(spark, sf_dir))
