@@ -7,6 +7,7 @@ import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def prepared(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """The session, with Arrow batches of at most so many rows: whole texts make the usual ones very large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepared(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -101,11 +111,11 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 class RowTable(dict):
     """Maps a word to the row of ``make(word)`` in ``rows``; rows are computed once for each new word.
 
-    At ``cap`` words the table starts afresh at the next batch, so its memory is bounded while every
-    word still gets its exact row.
+    Beyond ``cap`` words the table goes on, at the next batch, with the half of them that came first, the frequent
+    ones: its memory is bounded, and every word still gets its exact row.
     """
 
-    def __init__(self, make: Callable[[str], tuple], width: int, cap: int = 300_000):
+    def __init__(self, make: Callable[[str], tuple], width: int, cap: int = 400_000):
         super().__init__()
         self._make, self._width, self._cap = make, width, cap
         self._rows, self._used, self._new = np.zeros((1024, width)), 0, []
@@ -118,8 +128,10 @@ class RowTable(dict):
     def sums(self, texts: list[list[str]]) -> np.ndarray:
         """For each list of words the sum of their rows."""
         if len(self) > self._cap:
+            stay = list(islice(self.items(), self._cap // 2))
             self.clear()
-            self._used = 0
+            self.update(stay)
+            self._used = len(stay)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         ids = np.fromiter((self[w] for words in texts for w in words), np.int64, int(lengths.sum()))
         if self._new:
@@ -144,8 +156,14 @@ class RowTable(dict):
         return out
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``rows``."""
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, and of at most ``size`` bytes unless one row alone is larger."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        todo = [batch.slice(start, rows) for start in range(0, batch.num_rows, rows)][::-1]
+        while todo:
+            b = todo.pop()
+            if b.num_rows > 1 and b.nbytes > size:
+                half = b.num_rows // 2
+                todo += [b.slice(half), b.slice(0, half)]
+            else:
+                yield b

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhold.llm.common import RowTable, crc_mod, hash_share, small_batches
+from tallyhold.llm.common import RowTable, crc_mod, hash_share, small_batches, tidy
 from tallyhold.llm.subword import Bags, gram_ids, words_of
 
 
@@ -130,6 +130,7 @@ def predict(docs: DataFrame, model: LangModel, *, id_col: str = "doc_id", text_c
     """doc_id, held_out, lang_pred, score and ambiguous of every row of ``docs``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         seen = RowTable(own.word, own.weight.shape[1] + 1)

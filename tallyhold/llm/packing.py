@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhold.llm.common import small_batches
+from tallyhold.llm.common import small_batches, tidy
 from tallyhold.llm.tokens import DEFAULT, pieces
 
 #: doc_id, start, ids, doc_tokens
@@ -105,6 +105,7 @@ def pack(docs: DataFrame, *, size: int = 2048, end_id: int = 1, tokenizer: str |
     """
     path = tokenizer or public_tokenizers.path(DEFAULT)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, packer = pieces(path, WIDTH), Packer(size)
         end, base, n = cache.pack([end_id]), TaskContext.get().partitionId() << 32, 0
@@ -122,10 +123,11 @@ def pack(docs: DataFrame, *, size: int = 2048, end_id: int = 1, tokenizer: str |
             for i in range(0, len(rows), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 2000]), kinds, strict=True)], names=names)
 
-        for b in small_batches(batches, 256):
+        for b in small_batches(batches, 1024):
             for doc_id, ids in zip(b.column(0).to_pylist(), cache.encode(b.column(1).to_pylist()), strict=True):
                 packer.add(doc_id, ids + end)
             yield from closed()
+        cache.rest()
         packer.close()
         yield from closed()
 

@@ -8,8 +8,10 @@ anchors at a time. The result are the starts of repeated windows, and so the spa
 
 Scale. Anchors are one in about 70 bytes; they are shuffled packed, to count them, then only segments of repeated anchors
 are shuffled, packed, equal ones of a task once. A bucket's anchors, and its segments, are cut to a set size by the
-number of buckets. Texts meet their repeated anchors, and later their spans, by a join: a broadcast of these small rows up
-to ``BROADCAST_ROWS`` of them, a shuffle of the texts beyond.
+number of buckets. An anchor that occurs more than ``hot`` times (the edge of a passage that a large part of all texts share,
+each with other text around it) doesn't bring its segments together: its windows meet one by one, by their own hashes, and
+equal ones are counted. Texts meet their repeated anchors, and later their spans, by a join: a broadcast of these packed rows up
+to ``BROADCAST_BYTES``, as measured, and a shuffle of the texts beyond.
 
 Edge cases. Null texts are empty; texts shorter than ``size`` have no window and stay whole. A repeated row repeats all
 of its windows, so all of both rows goes if they are long enough. Matches never cross texts. Long runs of one byte or
@@ -19,20 +21,21 @@ period are one segment and repeat within themselves. Other columns are never rea
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhold.llm.common import small_batches, staged
+from tallyhold.llm.common import give_back, numbered, small_batches, staged, tidy
 from tallyhold.llm.suffixes import repeated_starts
 
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32_000_000
 
 
 def _hashes(text: np.ndarray, k: int) -> np.ndarray:
@@ -81,6 +84,7 @@ def anchors(text: bytes, size: int, gram: int) -> tuple[np.ndarray, np.ndarray,
 def _packed(rows: DataFrame, size: int, gram: int, buckets: int) -> DataFrame:
     """(bucket, keys, blob of uids, first windows and whether the anchor occurs again in its run) of all anchors."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, held, n = zstandard.ZstdCompressor(level=1), [], 0
 
@@ -104,7 +108,7 @@ def _packed(rows: DataFrame, size: int, gram: int, buckets: int) -> DataFrame:
                 if len(key):
                     held.append((uid, key, first, count > 1))
                     n += len(key)
-            if n > 2_000_000:
+            if n > 1_000_000:
                 yield from out()
                 held.clear()
                 n = 0
@@ -114,8 +118,15 @@ def _packed(rows: DataFrame, size: int, gram: int, buckets: int) -> DataFrame:
     return rows.mapInArrow(run, "bucket int, keys binary, blob binary")
 
 
-def _repeated(packed: DataFrame) -> DataFrame:
-    """(uid, firsts): the first windows of those runs whose anchor occurs elsewhere, or again within the run."""
+#: Marks the first window of a run whose anchor occurs very often.
+HOT = 1 << 31
+
+
+def _repeated(packed: DataFrame, hot: int) -> DataFrame:
+    """(uid, firsts): the first windows of those runs whose anchor occurs elsewhere, or again within the run.
+
+    Those of anchors that occur more than ``hot`` times are marked.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         opener, keys, uids, firsts, agains = zstandard.ZstdDecompressor(), [], [], [], []
@@ -130,10 +141,14 @@ def _repeated(packed: DataFrame) -> DataFrame:
         by = np.argsort(key, kind="stable")
         same = key[by][1:] == key[by][:-1]
         keep = by[np.r_[False, same] | np.r_[same, False] | (again[by] > 0)]
-        order = keep[np.lexsort((first[keep], uid[keep]))]
+        begins = np.flatnonzero(np.r_[True, ~same]) if len(by) else np.zeros(0, np.int64)
+        often = np.zeros(len(by), np.int64)
+        often[by] = np.repeat(np.diff(np.r_[begins, len(by)]), np.diff(np.r_[begins, len(by)]))
+        first = first | np.where(often > hot, HOT, 0).astype("<u4")
+        order = keep[np.lexsort((first[keep] & (HOT - 1), uid[keep]))]
         return _by_uid(uid[order], first[order])
 
-    return staged(packed.groupBy("bucket").applyInArrow(run, "uid long, blob binary"), "repeated-anchors")
+    return packed.groupBy("bucket").applyInArrow(run, "uid long, blob binary")
 
 
 def _by_uid(uid: np.ndarray, value: np.ndarray) -> pa.Table:
@@ -143,14 +158,27 @@ def _by_uid(uid: np.ndarray, value: np.ndarray) -> pa.Table:
 
 
 def _with(rows: DataFrame, blobs: DataFrame, how: str) -> DataFrame:
-    """Rows beside the packed values of their uid (several rows of ``blobs`` may have one)."""
-    own = staged(blobs.groupBy("uid").agg(F.collect_list("blob").alias("blobs")), "by-text")
-    return rows.join(F.broadcast(own) if own.count() <= BROADCAST_ROWS else own, "uid", how)
+    """Rows beside the packed values of their uid, of which ``blobs`` has one row each."""
+    size = blobs.agg(F.coalesce(F.sum(F.octet_length("blob") + 48), F.lit(0))).first()[0]
+    return rows.join(F.broadcast(blobs) if size <= BROADCAST_BYTES else blobs, "uid", how)
+
+
+def _one_each(blobs: DataFrame, parts: int, merge: Callable[[list[bytes]], bytes], name: str) -> DataFrame:
+    """The packed values of each uid in one row."""
+
+    def run(group: pa.Table) -> pa.Table:
+        own: dict[int, list[bytes]] = defaultdict(list)
+        for uid, blob in zip(group.column("uid").to_pylist(), group.column("blob").to_pylist(), strict=True):
+            own[uid].append(blob)
+        return pa.table({"uid": pa.array(list(own), pa.int64()), "blob": pa.array(map(merge, own.values()), pa.binary())})
+
+    return staged(blobs.groupBy(F.pmod(F.xxhash64("uid"), F.lit(parts)).alias("part")).applyInArrow(run, "uid long, blob binary"), name)
 
 
 def _segments(rows: DataFrame, repeated: DataFrame, size: int, gram: int, buckets: int) -> DataFrame:
     """(bucket, segments): of a task's segments at repeated anchors each distinct one once, with its places."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, held, volume = zstandard.ZstdCompressor(level=3), defaultdict(dict), 0
 
@@ -165,25 +193,27 @@ def _segments(rows: DataFrame, repeated: DataFrame, size: int, gram: int, bucket
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([packer.compress(raw)], pa.binary())], names=["bucket", "segments"])
 
         for b in small_batches(batches):
-            for uid, text, blobs in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                wanted = np.sort(np.concatenate([np.frombuffer(x, "<u4") for x in blobs]))
+            for uid, text, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                wanted = np.frombuffer(blob, "<u4")
                 key, first, last, _ = anchors(text, size, gram)
-                pick = np.searchsorted(first, wanted)
-                for k, low, high in zip(key[pick].tolist(), first[pick].tolist(), last[pick].tolist(), strict=True):
-                    at = held[(k >> 32) % buckets]
-                    content = text[low : high + size]
-                    if (k, content) in at:
-                        at[k, content].append((uid, low))
-                    else:
-                        at[k, content] = [(uid, low)]
-                        volume += len(content) + 200
-            if volume > 48_000_000:
+                pick = np.searchsorted(first, wanted & (HOT - 1))
+                for k, low, high, often in zip(key[pick].tolist(), first[pick].tolist(), last[pick].tolist(), (wanted >= HOT).tolist(), strict=True):
+                    # the windows of a very frequent anchor meet by their own hashes, one by one
+                    parts = [(xxhash.xxh64_intdigest(w), w, s) for s in range(low, high + 1) for w in (text[s : s + size],)] if often else [(k, text[low : high + size], low)]
+                    for own, content, start in parts:
+                        at = held[(own >> 32) % buckets]
+                        if (own, content) in at:
+                            at[own, content].append((uid, start))
+                        else:
+                            at[own, content] = [(uid, start)]
+                            volume += len(content) + 200
+            if volume > 24_000_000:
                 yield from out()
                 held.clear()
                 volume = 0
         yield from out()
 
-    return _with(rows, repeated, "inner").select("uid", "text", "blobs").mapInArrow(run, "bucket int, segments binary")
+    return _with(rows, repeated, "inner").select("uid", "text", "blob").mapInArrow(run, "bucket int, segments binary")
 
 
 def _spans(segments: DataFrame, size: int, chunk: int) -> DataFrame:
@@ -221,7 +251,8 @@ def _spans(segments: DataFrame, size: int, chunk: int) -> DataFrame:
             for c, all_of_it in zip(contents, several, strict=True):
                 if all_of_it:
                     whole(k, c, np.arange(len(c) - size + 1))
-            if not all(several):
+            # a lone window has nothing to be compared with
+            if not all(several) and (len(contents) > 1 or len(contents[0]) > size):
                 todo += [(k, c) for c in contents]
         # chunks of whole anchors: equal windows are always in one
         start, volume = 0, 0
@@ -237,14 +268,16 @@ def _spans(segments: DataFrame, size: int, chunk: int) -> DataFrame:
             return _by_uid(np.zeros(0, np.int64), np.zeros((0, 2)))
         of, pairs = np.concatenate(uid), np.stack([np.concatenate(low), np.concatenate(high)], 1)
         by = np.lexsort((pairs[:, 0], of))
+        del places, groups, todo
+        give_back()
         return _by_uid(of[by], pairs[by])
 
-    return staged(segments.groupBy("bucket").applyInArrow(run, "uid long, blob binary"), "spans")
+    return segments.groupBy("bucket").applyInArrow(run, "uid long, blob binary")
 
 
-def merged(blobs: list[bytes] | None) -> np.ndarray:
+def merged(blobs: list[bytes]) -> np.ndarray:
     """Disjoint ascending spans (start, end) of packed overlapping or touching ones."""
-    pairs = np.concatenate([np.frombuffer(b, "<u4").reshape(-1, 2) for b in blobs]).astype(np.int64) if blobs else np.zeros((0, 2), np.int64)
+    pairs = np.frombuffer(b"".join(blobs), "<u4").reshape(-1, 2).astype(np.int64)
     if not len(pairs):
         return pairs
     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
@@ -253,25 +286,28 @@ def merged(blobs: list[bytes] | None) -> np.ndarray:
     return np.stack([pairs[first, 0], reach[np.r_[first[1:] - 1, len(pairs) - 1]]], 1)
 
 
-def _found(rows: DataFrame, size: int, gram: int, bucket_bytes: int, chunk: int) -> DataFrame:
-    """Spans (uid, blob) of the rows' (uid, text) repeated bytes."""
+def _found(rows: DataFrame, size: int, gram: int, bucket_bytes: int, chunk: int, hot: int) -> DataFrame:
+    """Spans (uid, blob) of the rows' (uid, text) repeated bytes, disjoint and ascending."""
     volume = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     buckets = max(1, -(-volume // bucket_bytes))
-    return _spans(_segments(rows, _repeated(_packed(rows, size, gram, buckets)), size, gram, buckets), size, chunk)
+    repeated = _one_each(_repeated(_packed(rows, size, gram, buckets), hot), buckets, b"".join, "repeated-anchors")
+    spans = _spans(_segments(rows, repeated, size, gram, buckets), size, chunk)
+    return _one_each(spans, buckets, lambda blobs: merged(blobs).astype("<u4").tobytes(), "spans")
 
 
-def cut(text: bytes, blobs: list[bytes] | None) -> tuple[bytes, np.ndarray]:
-    """The text without the spans, and the spans."""
-    gone = merged(blobs)
+def cut(text: bytes, blob: bytes | None) -> tuple[bytes, np.ndarray]:
+    """The text without the packed spans, and the spans."""
+    gone = np.frombuffer(blob or b"", "<u4").reshape(-1, 2).astype(np.int64)
     edges = [0, *gone.ravel().tolist(), len(text)]
     return b"".join(text[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)), gone
 
 
-def remove(docs: DataFrame, *, size: int = 200, gram: int = 64, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 6_000_000, chunk: int = 400_000) -> DataFrame:
+def remove(docs: DataFrame, *, size: int = 200, gram: int = 64, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 6_000_000, chunk: int = 400_000, hot: int = 20_000) -> DataFrame:
     """uid, doc_id, n_bytes, spans (array of start and end), kept (binary) of every row."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("text"))
-    spans = _found(rows.select("uid", "text"), size, gram, bucket_bytes, chunk)
+    spans = _found(rows.select("uid", "text"), size, gram, bucket_bytes, chunk, hot)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 256):
             got = [cut(*x) for x in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
@@ -280,27 +316,35 @@ def remove(docs: DataFrame, *, size: int = 200, gram: int = 64, id_col: str = "d
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), size_of, pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([kept for kept, _ in got], pa.binary())], names=["uid", "doc_id", "n_bytes", "spans", "kept"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return _with(rows, spans, "left").select("uid", "doc_id", "text", "blobs").mapInArrow(run, f"uid long, doc_id {kind}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    return _with(rows, spans, "left").select("uid", "doc_id", "text", "blob").mapInArrow(run, f"uid long, doc_id {kind}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
-def clean(docs: DataFrame, *, size: int = 200, gram: int = 64, text_col: str = "text", chars_col: str | None = "n_chars", bucket_bytes: int = 6_000_000, chunk: int = 400_000) -> DataFrame:
+def clean(docs: DataFrame, *, size: int = 200, gram: int = 64, text_col: str = "text", chars_col: str | None = "n_chars", bucket_bytes: int = 6_000_000, chunk: int = 400_000, hot: int = 20_000) -> DataFrame:
     """``docs`` with repeated bytes taken out of the texts; bytes of characters that a cut has split go with it.
 
     Texts without a repeat, null ones among them, are as they were. ``chars_col``, if the table has it, is counted anew.
     """
-    rows = docs.withColumn("uid", F.monotonically_increasing_id())
-    texts = rows.select("uid", F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("text"))
-    spans = _found(texts, size, gram, bucket_bytes, chunk)
+    rows = numbered(docs)
+    texts = rows.select("uid", F.coalesce(F.col("row")[text_col].cast("string").cast("binary"), F.lit(b"")).alias("text"))
+    spans = _found(texts, size, gram, bucket_bytes, chunk, hot)
 
     @F.pandas_udf("string")
+    @tidy
     def kept(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for text, blobs in batches:
-            yield pd.Series([t if f is None else cut(t.encode(), list(f))[0].decode("utf-8", "ignore") for t, f in zip(text, blobs, strict=True)], dtype=object)
+        for text, blob in batches:
+            yield pd.Series([t if f is None else cut(t.encode(), f)[0].decode("utf-8", "ignore") for t, f in zip(text, blob, strict=True)], dtype=object)
+
+    out = _with(rows, spans, "left").withColumn("cut", kept(F.col("row")[text_col].cast("string"), "blob"))
+
+    def column(name: str) -> Column:
+        was = F.col("row")[name]
+        if name == text_col:
+            return F.col("cut").alias(name)
+        if name == chars_col:
+            return F.when(F.col("blob").isNull(), was).otherwise(F.length("cut").cast(docs.schema[name].dataType)).alias(name)
+        return was.alias(name)
 
-    out = _with(rows, spans, "left").withColumn(text_col, kept(F.col(text_col).cast("string"), "blobs"))
-    if chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.when(F.col("blobs").isNull(), F.col(chars_col)).otherwise(F.length(text_col).cast(docs.schema[chars_col].dataType)))
-    return out.select(*docs.columns)
+    return out.select(*map(column, docs.columns))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhold.llm.common import fresh_path, small_batches, staged
+from tallyhold.llm.common import fresh_path, small_batches, staged, tidy
 from tallyhold.llm.tokens import DEFAULT_RANKS, pieces
 
 
@@ -73,7 +73,7 @@ def sequences(batches: Iterator[pa.RecordBatch], path: str, width: int, size: in
     """Of one partition's (doc_id, text) rows: ids of each sequence, its number of real tokens, its doc_ids."""
     cache = pieces(path, width)
     end, stride, held, docs = cache.pack([end_id]), size * width, bytearray(), []
-    for b in small_batches(batches, 256):
+    for b in small_batches(batches, 1024):
         for doc_id, ids in zip(b.column(0).to_pylist(), cache.encode(b.column(1).to_pylist()), strict=True):
             held += ids + end
             docs.append(doc_id)
@@ -83,6 +83,7 @@ def sequences(batches: Iterator[pa.RecordBatch], path: str, width: int, size: in
                 at += stride
                 docs = [doc_id] if len(held) > at else []
             del held[:at]
+    cache.rest()
     if held:
         yield bytes(held) + cache.pack([pad_id]) * (size - len(held) // width), len(held) // width, docs
 
@@ -97,6 +98,7 @@ def materialise(docs: DataFrame, path: str | None = None, *, size: int = 2048, p
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     members = pa.list_(pa.list_(pa.int64()))
 
+    @tidy
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, packer, first = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=6), 0
         found = sequences(batches, tok, width, size, end_id, pad_id)
@@ -115,6 +117,7 @@ def materialise(docs: DataFrame, path: str | None = None, *, size: int = 2048, p
     if not total:
         return spark.createDataFrame([], schema)
 
+    @tidy
     def place(batches: Iterator[pa.RecordBatch], most: int = 12_000) -> Iterator[pa.RecordBatch]:
         opener, packer, slots, real, docs_of, records = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=6), [], [], [], []
 
@@ -140,6 +143,7 @@ def materialise(docs: DataFrame, path: str | None = None, *, size: int = 2048, p
         if slots:
             yield from out()
 
+    @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path)
         opener = zstandard.ZstdDecompressor()

@@ -11,8 +11,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable
 from functools import lru_cache
-from itertools import chain, islice
-from operator import itemgetter
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -35,13 +34,11 @@ def encoder(path: str) -> tuple[Callable[[list[str]], list[list[int]]], list[byt
     tok = Tokenizer.from_file(path)
     return lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)], [tok.decode([i], skip_special_tokens=False).encode() for i in range(tok.get_vocab_size())]
 
-_REST = itemgetter(slice(1, None))
-
 
 class PieceCache:
     """Encodes texts to little-endian unsigned ids of ``width`` bytes."""
 
-    def __init__(self, path: str, width: int = 4, cap: int = 1_600_000):
+    def __init__(self, path: str, width: int = 4, cap: int = 1_200_000):
         self.ids_of, strings = encoder(path)
         self.opens = np.array([x.startswith(b" ") for x in strings])
         if len(strings) > 256**width:
@@ -55,6 +52,12 @@ class PieceCache:
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
+    def rest(self, keep: int = 300_000) -> None:
+        """Keep the first, frequent parts only: what the next task begins with, and all that a worker holds between tasks."""
+        if len(self.known) > keep:
+            self.known = dict(islice(self.known.items(), keep))
+        self.heads.clear()
+
     def _learn(self, parts: list[str], run: int = 1000) -> None:
         """Encode parts without white space; only a part's first id begins with a space, so one call takes many."""
         for i in range(0, len(parts), run):
@@ -73,7 +76,14 @@ class PieceCache:
         if len(self.heads) > self.cap // 10:
             self.heads.clear()
         cut = [(t or "").split(" ") for t in texts]
-        new = set(chain.from_iterable(map(_REST, cut))).difference(self.known)
+        get, ids, lacking, new = self.known.get, [], [], set()
+        for parts in cut:
+            rest = list(map(get, islice(parts, 1, None)))
+            lack = [i for i, r in enumerate(rest) if r is None] if None in rest else []
+            new.update([parts[i + 1] for i in lack])
+            ids.append(rest)
+            lacking.append(lack)
+        new.difference_update(self.known)
         whole = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
         self.known.update(dict.fromkeys(new))
         self._learn([p for p in whole if "<|" not in p])
@@ -81,11 +91,12 @@ class PieceCache:
         self.known.update(zip(odd, map(self.pack, self.ids_of([f" {p}" for p in odd])), strict=True))
         heads = list({parts[0] for parts in cut}.difference(self.heads))
         self.heads.update(zip(heads, map(self.pack, self.ids_of(heads)), strict=True))
-        get, out = self.known.__getitem__, []
-        for text, parts in zip(texts, cut, strict=True):
+        out = []
+        for text, parts, rest, lack in zip(texts, cut, ids, lacking, strict=True):
+            for i in lack:
+                rest[i] = self.known[parts[i + 1]]
             head = parts[0]
-            rest = list(map(get, islice(parts, 1, None)))
-            if None in rest or (rest and (not head or head[-1].isspace())):
+            if (lack and None in rest) or (rest and (not head or head[-1].isspace())):
                 out.append(self.pack(self.ids_of([text])[0]))
             else:
                 out.append(self.heads[head] + b"".join(rest))

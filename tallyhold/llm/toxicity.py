@@ -13,7 +13,7 @@ scan with no shuffle; each new word costs its n-grams once for each task, each f
 
 Edge cases. Null and empty texts have the score of the bias alone. Null or missing labels are not learnt from;
 of several labels of one document the largest counts. With no labelled row, or with one label only, the score
-of every text is the share of label 1 (0 without labels). Repeated rows are scored each. Columns other than the
+of every text is the share of label 1, a millionth off 0 and 1 at least. Repeated rows are scored each. Columns other than the
 key and the text pass through unread, whatever their names; an empty table gives an empty result.
 """
 
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhold.llm.common import RowTable, crc_mod, hash_share
+from tallyhold.llm.common import RowTable, crc_mod, hash_share, tidy
 from tallyhold.llm.subword import Bags, gram_ids, words_of
 
 
@@ -111,6 +111,7 @@ def score_column(spark: SparkSession, model: Toxicity, text: Column) -> Column:
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
+    @tidy
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = sent.value
         seen = RowTable(own.word, 2)

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhold.llm.common import fresh_path, small_batches, staged
+from tallyhold.llm.common import fresh_path, small_batches, staged, tidy
 
 #: Fixed values of the formats: skippable-frame magic of the dictionary, magic of a frame, profile of revisits.
 SKIPPABLE, FRAME = b"\x5d\x2a\x4d\x18", b"\x28\xb5\x2f\xfd"
@@ -142,6 +142,7 @@ def write(pages: DataFrame, path: str | None = None, *, date: str = "2024-01-01T
     """Write archives under ``path``; returns their paths and numbers of records (file, n_records)."""
     path = path or fresh_path(pages.sparkSession, "warc")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path)
         task, file, packer, n = TaskContext.get(), None, None, 0
@@ -193,6 +194,7 @@ def read(spark: SparkSession, files: DataFrame) -> DataFrame:
                 page, refers = (number.match(fields.get(k, "")) for k in ("warc-record-id", "warc-refers-to"))
                 yield (uri, n, kind, int(page[1]) if page else None, fields.get("warc-target-uri"), fields["warc-date"], fields["warc-payload-digest"].removeprefix("sha1:"), int(length[1]) if kind == "revisit" else len(payload), int(refers[1]) if refers else None, payload if kind == "response" else None)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for uri in b.column(0).to_pylist():

@@ -146,7 +146,7 @@ def test_packing_digest(odd):
         assert r.ids_crc32 == zlib.crc32(np.array(by[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
 
 
-@pytest.mark.parametrize("how", [{}, {"block": 3, "bucket_rows": 60}])
+@pytest.mark.parametrize("how", [{}, {"block": 3, "bucket_rows": 60}, {"hot_level": 1, "bucket_rows": 60}])
 def test_set_join(odd, empty, how):
     rows, docs = odd
     assert tuples(setjoin.components(docs, **how), "doc_id", "n_shingles", "component_id") == sorted(brute.op7(rows), key=str)
@@ -172,7 +172,7 @@ def test_subsets_and_prefixes_miss_no_link():
             assert set(a[: setjoin.prefix(len(a), 75)].tolist()) & set(b[: setjoin.prefix(len(b), 75)].tolist())
 
 
-@pytest.mark.parametrize("how", [{}, {"size": 24, "gram": 8, "bucket_bytes": 20_000, "chunk": 2000}])
+@pytest.mark.parametrize("how", [{}, {"size": 24, "gram": 8, "bucket_bytes": 20_000, "chunk": 2000}, {"hot": 2}, {"size": 24, "gram": 8, "hot": 3}])
 def test_repeats(odd, empty, how):
     rows, docs = odd
     names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

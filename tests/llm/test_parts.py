@@ -55,8 +55,9 @@ def test_equal_windows_have_equal_anchors(text):
 
 def test_spans_merge():
     blob = np.array([[5, 9], [0, 3], [3, 4], [8, 12], [20, 21]], "<u4").tobytes()
-    assert repeats.merged([blob]).tolist() == [[0, 4], [5, 12], [20, 21]] and repeats.merged(None).tolist() == []
-    assert repeats.cut(b"0123456789abcdefghijklmn", [blob])[0] == b"4cdefghijlmn"[:1] + b"cdefghij" + b"lmn"
+    assert repeats.merged([blob]).tolist() == [[0, 4], [5, 12], [20, 21]] and repeats.merged([]).tolist() == []
+    one = repeats.merged([blob]).astype("<u4").tobytes()
+    assert repeats.cut(b"0123456789abcdefghijklmn", one)[0] == b"4cdefghijlmn" and repeats.cut(b"abc", None)[0] == b"abc"
 
 
 @settings(max_examples=300, deadline=None)
@@ -179,3 +180,11 @@ def test_damaged_archives_are_refused():
             warc.parse(bad, 0)
     fields, http, payload = warc.parse(raw, 0)
     assert payload == b"payload" and fields["warc-type"] == "response" and http.startswith(b"HTTP/1.1 200")
+
+
+def test_a_full_table_of_rows_goes_on_with_exact_rows():
+    table = RowTable(lambda w: (float(len(w)), 1.0), 2, cap=8)
+    r = random.Random(7)
+    for _ in range(50):
+        texts = [["x" * r.randint(1, 30) for _ in range(r.randint(0, 6))] for _ in range(4)]
+        assert table.sums(texts).tolist() == [[float(sum(map(len, t))), float(len(t))] for t in texts]
