@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyhold.llm import decontaminate, packing, repeats, setjoin, toxicity
-from tallyhold.llm.common import staged, table
+from tallyhold.llm.common import prepared, staged, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,11 +19,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of word-shingle similarity of 0.75 or more make."""
+    prepared(spark)
     return setjoin.first_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings of 200 bytes or more that the corpus repeats."""
+    prepared(spark)
     return repeats.clean(docs)
 
 
@@ -34,6 +36,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
+    prepared(spark)
     return packing.digest(packing.pack(docs))
 
 
