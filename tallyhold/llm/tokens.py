@@ -1,9 +1,10 @@
 """Token ids of texts by a public byte-level BPE, with each distinct piece of text encoded once.
 
 The pre-tokenizer of this kind of vocabulary always cuts before a space that stands between two characters that
-aren't white space, and merges never cross a cut. So a text's ids are, in order, the ids of its parts between such
-spaces, each with its leading space. Parts repeat a lot: their packed ids are kept, and only new ones go to the library.
-Texts in which a space meets other white space go to the library whole.
+aren't white space, and around a line end that stands so; merges never cross a cut. So a text's ids are, in order, the
+ids of its parts between such spaces and line ends, each with the space or line end before it. Parts repeat a lot: their
+packed ids are kept, and only new ones go to the library. Texts in which a space meets other white space go to the
+library whole; those with empty lines are cut at spaces only.
 """
 
 from __future__ import annotations
@@ -35,10 +36,14 @@ def encoder(path: str) -> tuple[Callable[[list[str]], list[list[int]]], list[byt
     return lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)], [tok.decode([i], skip_special_tokens=False).encode() for i in range(tok.get_vocab_size())]
 
 
+#: Before the line end that a part begins with.
+LINE = "\x01"
+
+
 class PieceCache:
     """Encodes texts to little-endian unsigned ids of ``width`` bytes."""
 
-    def __init__(self, path: str, width: int = 4, cap: int = 1_200_000):
+    def __init__(self, path: str, width: int = 4, cap: int = 1_600_000):
         self.ids_of, strings = encoder(path)
         self.opens = np.array([x.startswith(b" ") for x in strings])
         if len(strings) > 256**width:
@@ -69,13 +74,19 @@ class PieceCache:
             packed, ends = ids.tobytes(), [*(at * self.kind.itemsize).tolist(), len(ids) * self.kind.itemsize]
             self.known.update(zip(some, map(packed.__getitem__, map(slice, ends[:-1], ends[1:])), strict=True))
 
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        if LINE in text:
+            return [text, ""]  # an empty part sends the text to the library whole
+        return (text if "\n\n" in text else text.replace("\n", f" {LINE}\n")).split(" ")
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > self.cap:
             # the parts that came first are the frequent ones
             self.known = dict(islice(self.known.items(), self.cap // 2))
         if len(self.heads) > self.cap // 10:
             self.heads.clear()
-        cut = [(t or "").split(" ") for t in texts]
+        cut = [self._cut(t or "") for t in texts]
         get, ids, lacking, new = self.known.get, [], [], set()
         for parts in cut:
             rest = list(map(get, islice(parts, 1, None)))
@@ -84,8 +95,11 @@ class PieceCache:
             ids.append(rest)
             lacking.append(lack)
         new.difference_update(self.known)
-        whole = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
+        opening = [p for p in new if p[:1] == LINE]
+        whole = [p for p in new.difference(opening) if p and not p[0].isspace() and not p[-1].isspace()]
         self.known.update(dict.fromkeys(new))
+        opening = [p for p in opening if p[1:2] == "\n" and len(p) > 2 and not p[2].isspace() and not p[-1].isspace()]
+        self.known.update(zip(opening, map(self.pack, self.ids_of([p[1:] for p in opening])), strict=True))
         self._learn([p for p in whole if "<|" not in p])
         odd = [p for p in whole if "<|" in p]
         self.known.update(zip(odd, map(self.pack, self.ids_of([f" {p}" for p in odd])), strict=True))
