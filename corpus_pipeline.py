@@ -37,7 +37,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
     prepared(spark)
-    return packing.digest(packing.pack(docs))
+    return packing.digest(packing.pack(docs, keep=200_000))
 
 
 STAGES = [
