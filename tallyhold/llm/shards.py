@@ -69,7 +69,7 @@ class Feistel:
         return out.astype(np.int64)
 
 
-def sequences(batches: Iterator[pa.RecordBatch], path: str, width: int, size: int, end_id: int, pad_id: int) -> Iterator[tuple[bytes, int, list]]:
+def sequences(batches: Iterator[pa.RecordBatch], path: str, width: int, size: int, end_id: int, pad_id: int, keep: int) -> Iterator[tuple[bytes, int, list]]:
     """Of one partition's (doc_id, text) rows: ids of each sequence, its number of real tokens, its doc_ids."""
     cache = pieces(path, width)
     end, stride, held, docs = cache.pack([end_id]), size * width, bytearray(), []
@@ -83,15 +83,16 @@ def sequences(batches: Iterator[pa.RecordBatch], path: str, width: int, size: in
                 at += stride
                 docs = [doc_id] if len(held) > at else []
             del held[:at]
-    cache.rest()
+    cache.rest(keep)
     if held:
         yield bytes(held) + cache.pack([pad_id]) * (size - len(held) // width), len(held) // width, docs
 
 
-def materialise(docs: DataFrame, path: str | None = None, *, size: int = 2048, per_shard: int = 4096, key: bytes = b"training order", end_id: int = 1, pad_id: int = 0, width: int = 2, tokenizer: str | None = None, group: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def materialise(docs: DataFrame, path: str | None = None, *, size: int = 2048, per_shard: int = 4096, key: bytes = b"training order", end_id: int = 1, pad_id: int = 0, width: int = 2, tokenizer: str | None = None, group: int = 64, keep: int = 1_600_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards under ``path`` and return a row for each sequence.
 
     slot, shard, byte_offset, n_tokens (without padding), ids_crc32 (of the record), doc_ids (in order), file.
+    ``keep`` is the number of encoded parts of text that a worker keeps from task to task.
     """
     spark, tok = docs.sparkSession, tokenizer or public_tokenizers.path(DEFAULT_RANKS)
     path = path or fresh_path(spark, "shards")
@@ -101,7 +102,7 @@ def materialise(docs: DataFrame, path: str | None = None, *, size: int = 2048, p
     @tidy
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, packer, first = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=6), 0
-        found = sequences(batches, tok, width, size, end_id, pad_id)
+        found = sequences(batches, tok, width, size, end_id, pad_id, keep)
         while held := list(islice(found, group)):
             ids, real, docs_of = zip(*held, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([first]), pa.array([list(real)], pa.list_(pa.int64())), pa.array([docs_of], members), pa.array([packer.compress(b"".join(ids))], pa.binary())], names=["part", "first", "n_tokens", "doc_ids", "ids"])
