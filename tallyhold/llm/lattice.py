@@ -35,8 +35,10 @@ from tallyhold.llm.common import crc_mod, small_batches, staged, tidy
 
 MARK = "▁"
 LN10 = math.log(10)
-#: Up to so many characters the products of a word's probabilities stay well within a double's range.
+#: Up to so many characters a word's expected counts are first tried by plain products of probabilities.
 LONG = 60
+#: A word below this probability is counted in log space: what a product above it loses to underflow is less than 1e-50 of it.
+LEAST = 1e-250
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -111,6 +113,9 @@ class Lattice:
             p = likely[i]
             alpha[e] += alpha[s] * p
             found.append((s, e, p, i))
+        if not alpha[n] >= LEAST:
+            self._expect_long(self.edges(word), n, weight, into)
+            return
         # by descending end: all edges that begin where an edge ends have been seen
         weight /= alpha[n]
         for s, e, p, i in reversed(found):

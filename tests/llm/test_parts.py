@@ -98,6 +98,22 @@ def test_marginal_is_the_sum_over_segmentations():
         assert spelt == pytest.approx(2.0 * (len(word) + 1 - word.count("é")))
 
 
+def test_expected_counts_of_improbable_words():
+    first = lattice.first_lattice()
+    used = np.isfinite(first.logs)
+    least = lattice.Lattice(first.pieces, np.where(used, first.logs - 12.0, first.logs), first.end)
+    longer = {c for p in first.pieces if len(p) > 1 for c in p}
+    rare = min(c for c in first.single - longer if ord(c) > 0x3000)
+    for own in (first, least):
+        for word in [d * k for d in ("7", rare) for k in range(40, 60)] + ["0123456789" * 5 + rare * 8]:
+            counts, long = [0.0] * len(own.pieces), [0.0] * len(own.pieces)
+            own.expect(word, 3.0, counts)
+            own._expect_long(own.edges(word), len(word) + 1, 3.0, long)
+            assert np.allclose(counts, long, rtol=1e-9, atol=1e-12)
+            spelt = sum(c * len(x) for c, x in zip(counts, own.pieces, strict=True) if c)
+            assert spelt == pytest.approx(3.0 * (len(word) + 1))
+
+
 def test_training_raises_the_likelihood():
     start = lattice.first_lattice()
     words = {"the": 50, "thing": 10, "erthing": 5, "of": 30}
