@@ -153,6 +153,22 @@ def test_set_join(odd, empty, how):
     assert setjoin.components(empty).isEmpty()
 
 
+def test_one_of_each_set_component_stays(spark, tmp_path):
+    own = [" ".join(f"w{k}x{j}" for j in range(30)) for k in range(12)]
+    chain = [" ".join(f"c{j}" for j in range(k, k + 60)) for k in range(0, 60, 5)]
+    rows = [(None, t) for t in own[:4]] + [(5, t) for t in own[4:8]] + [(6, own[8]), (7, own[9]), (None, own[9]), (None, own[10]), (None, own[10])]
+    rows += [(None, t) for t in chain[:-1]] + [(9, chain[-1]), (None, ""), (None, None), (5, "")]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+    docs = spark.read.parquet(path)
+    want = [(None, t) for t in own[:4]] + [(5, t) for t in own[4:8]] + [(6, own[8]), (7, own[9]), (None, own[10]), (9, chain[-1]), (None, ""), (None, None), (5, "")]
+    assert sorted(map(tuple, setjoin.first_of_each(docs).collect()), key=str) == sorted(want, key=str)
+    named = {}
+    for uid, i in ((r.uid, r.component_id) for r in setjoin.components(docs).where("n_shingles = 56").collect()):
+        named[uid] = i
+    assert len(named) == len(chain) and set(named.values()) == {9}
+
+
 def test_subsets_and_prefixes_miss_no_link():
     r = np.random.default_rng(1)
     light = setjoin.boundary(75, 0.1)
