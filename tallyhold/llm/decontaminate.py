@@ -78,17 +78,21 @@ def search(index: DataFrame, wins: DataFrame) -> DataFrame:
 
 
 def near(index: DataFrame, items: DataFrame, *, span: int = 20, rarest: int = 3, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Proximity matches: uid, item_id, pos of its rarest term where its ``rarest`` rarest terms lie within ``span`` words of it, in any order."""
-    terms = items.select(F.col(id_col).cast("string").alias("item_id"), F.explode(F.array_distinct(words(F.col(text_col).cast("string")))).alias("term"))
+    """Proximity matches: uid, item_id, pos of its rarest term where its ``rarest`` rarest terms lie within ``span`` words of it,
+    or as far as in the item if that is more, in any order. A term without postings is the rarest and isn't met."""
+    terms = items.select(F.col(id_col).cast("string").alias("item_id"), F.posexplode(words(F.col(text_col).cast("string"))).alias("off", "term"))
+    # repeated items of one id are one item with the terms of all
+    terms = terms.groupBy("item_id", "term").agg(F.min("off").alias("off"))
     postings = index.where(F.col("term").isNotNull()).select("uid", "term", "pos")
-    ranked = terms.join(postings.groupBy("term").count(), "term")
+    ranked = terms.join(postings.groupBy("term").count(), "term", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     ranked = staged(ranked.withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy("count", "term"))).where(F.col("rank") <= rarest), "near-terms")
-    want = ranked.groupBy("item_id").agg(F.count("*").alias("want"))
-    lead = postings.join(ranked.where("rank = 1").select("item_id", "term"), "term").select("uid", "item_id", "pos")
+    by = ranked.where("rank = 1").select("item_id", F.col("off").alias("by"))
+    want = ranked.join(by, "item_id").groupBy("item_id").agg(F.count("*").alias("want"), F.greatest(F.lit(span), F.max(F.abs(F.col("off") - F.col("by")))).alias("reach"))
+    lead = postings.join(ranked.where("rank = 1").select("item_id", "term"), "term").select("uid", "item_id", "pos").join(want, "item_id")
     other = postings.join(ranked.where("rank > 1").select("item_id", "term"), "term").select("uid", "item_id", F.col("pos").alias("at"), "term")
-    met = lead.join(other, ["uid", "item_id"], "left").where(F.col("at").isNull() | (F.abs(F.col("at") - F.col("pos")) <= span))
-    met = met.groupBy("uid", "item_id", "pos").agg((F.count_distinct("term") + 1).alias("met"))
-    return met.join(want, "item_id").where(F.col("met") == F.col("want")).select("uid", "item_id", "pos")
+    met = lead.join(other, ["uid", "item_id"], "left").where(F.col("at").isNull() | (F.abs(F.col("at") - F.col("pos")) <= F.col("reach")))
+    met = met.groupBy("uid", "item_id", "pos", "want").agg((F.count_distinct("term") + 1).alias("met"))
+    return met.where(F.col("met") == F.col("want")).select("uid", "item_id", "pos")
 
 
 def hits(docs: DataFrame, items: DataFrame, *, size: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -83,6 +83,15 @@ def test_proximity(spark):
     assert [r.doc_id for r in decontaminate.near(index, items, span=6).join(where, "uid").collect()] == [1]
 
 
+def test_proximity_of_copies_and_of_lacking_terms(spark):
+    far = "red " + "x " * 30 + "green " + "x " * 30 + "blue"
+    docs = spark.createDataFrame([(1, "x x " + far + " x"), (2, "x " * 9), (3, "x " * 9), (4, "red " + "x " * 70 + "green blue"), (5, "pink grey")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, far), (2, "pink grey lacking")], "item_id long, text string")
+    index = decontaminate.build_index(docs, decontaminate.windows(items).select("term").distinct())
+    where = index.where("term is null").select("uid", "doc_id")
+    assert [(r.doc_id, r.item_id, r.pos) for r in decontaminate.near(index, items).join(where, "uid").collect()] == [(1, "1", 64)]
+
+
 def test_language(spark, odd, empty):
     rows, docs = odd
     got = {(r.doc_id, r.lang_pred, r.score, r.held_out) for r in langid.identify(docs).collect()}
