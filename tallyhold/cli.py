@@ -7,7 +7,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from tallyhold.errors import InventoryError, NotFoundError
+from tallyhold.errors import ConfigError, InventoryError, NotFoundError
 from tallyhold.functions.crypto import Encrypt, WordList
 from tallyhold.operators import inventory, projection
 from tallyhold.plans.engine import Engine
@@ -18,6 +18,7 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="tallyhold")
     top.add_argument("--config", default="tallyhold.toml")
     top.add_argument("--phrase-file", help="file with the recovery phrase, for an encrypted store")
+    top.add_argument("--passphrase-file", help="file with a passphrase, for a store encrypted with one and the salt of encryption.salt_path")
     top.add_argument("--word-list", help="file with the 2048 words of recovery phrases")
     sub = top.add_subparsers(dest="command", required=True)
     key = sub.add_parser("key").add_subparsers(dest="key_command", required=True)
@@ -67,8 +68,11 @@ def _run(args: argparse.Namespace, spark: SparkSession | None) -> int:
     config = Config.load(args.config)
     transform = None
     if config.encryption:
-        with open(args.phrase_file, encoding="utf-8") as f:
-            transform = Encrypt.from_mnemonic(f.read())
+        if not (args.passphrase_file or args.phrase_file):
+            raise ConfigError("an encrypted store needs --phrase-file or --passphrase-file")
+        with open(args.passphrase_file or args.phrase_file, encoding="utf-8") as f:
+            held = f.read()
+        transform = Encrypt.from_passphrase(held.strip("\n"), config.salt()) if args.passphrase_file else Encrypt.from_mnemonic(held)
     spark = spark or SparkSession.builder.appName("tallyhold").getOrCreate()
     engine = Engine(spark, config, transform=transform)
     if args.command == "scan":

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -29,32 +30,42 @@ def number(events: DataFrame, *, first: int = 0) -> DataFrame:
 
 
 def linked(events: DataFrame, tips: DataFrame | None = None, keys: dict[str, bytes] | None = None) -> DataFrame:
-    """Columns prev, hash (and sig, for machines whose secret is given) of numbered events.
+    """Columns prev, hash and sig (null but for machines whose secret is given) of numbered events.
 
-    ``tips`` (machine, hash) are the hashes that the events follow; without one a chain begins at zeros.
+    ``tips`` (machine, hash) are the hashes that the events follow; without one a chain begins at zeros. Only the links are
+    made in one task for each machine; signatures are made by all.
     """
     rows = events.drop("prev", "hash", "sig").withColumn("_body", body_hash())
     rows = rows.join(tips.select("machine", F.col("hash").alias("_tip")), "machine", "left") if tips is not None else rows.withColumn("_tip", F.lit(None).cast("string"))
     rows = rows.withColumn("_tip", F.coalesce("_tip", F.lit(ZERO_HASH)))
     at = [rows.columns.index(c) for c in ("machine", "_body", "_tip")]
     keep = [i for i, c in enumerate(rows.columns) if c not in ("_body", "_tip")]
-    keys = keys or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, last = object(), ""
         for b in batches:
-            prev, own, sig = [], [], []
+            prev, own = [], []
             for m, body, tip in zip(*(b.column(i).to_pylist() for i in at), strict=True):
                 if m != machine:
                     machine, last = m, tip
                 prev.append(last)
                 last = hashlib.sha256((last + body).encode()).hexdigest()
                 own.append(last)
-                sig.append(sign(keys[m], bytes.fromhex(last)).hex() if m in keys else None)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(prev, pa.string()), pa.array(own, pa.string()), pa.array(sig, pa.string())], names=[*(b.schema.names[i] for i in keep), "prev", "hash", "sig"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(prev, pa.string()), pa.array(own, pa.string())], names=[*(b.schema.names[i] for i in keep), "prev", "hash"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("_body", "_tip"))
-    return rows.repartition("machine").sortWithinPartitions("machine", "seq").mapInArrow(run, f"{schema}, prev string, hash string, sig string")
+    found = rows.repartition("machine").sortWithinPartitions("machine", "seq").mapInArrow(run, f"{schema}, prev string, hash string")
+    return signed(found, keys) if keys else found.withColumn("sig", F.lit(None).cast("string"))
+
+
+def signed(entries: DataFrame, keys: dict[str, bytes]) -> DataFrame:
+    """Linked entries with the signature (sig, hex) of their hash by their machine's secret, null for other machines."""
+
+    @F.pandas_udf("string")
+    def of(machines: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series([sign(keys[m], bytes.fromhex(h)).hex() if m in keys else None for m, h in zip(machines, hashes, strict=True)], dtype=object)
+
+    return entries.drop("sig").repartition("machine", "seq").withColumn("sig", of("machine", "hash"))
 
 
 def gaps(events: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from tallyhold.errors import ChainError, ConfigError, IntegrityError, NotFoundEr
 from tallyhold.functions.clock import HybridClock
 from tallyhold.functions.crypto import ChunkTransform, Identity, load_or_create_key, public_key
 from tallyhold.operators import chain, chunking, inventory, projection, scan
-from tallyhold.schemas import CATALOG, LOG
+from tallyhold.schemas import CATALOG, LOG, SYNCED
 from tallyhold.sources import files
 from tallyhold.sources.config import Config
 from tallyhold.sources.store import Store
@@ -43,7 +43,7 @@ class Engine:
         self.spark, self.config, self.transform = spark, config, transform or Identity()
         self.key = key or load_or_create_key(config.key_file)
         self.machine = public_key(self.key).hex()
-        self.store = Store(spark, config.store, config.store_options)
+        self.store = Store(spark, config.store, config.store_options | config.secrets())
         own = self.store.log().where(F.col("machine") == self.machine).agg(F.max("hlc")).first()[0]
         self.clock = HybridClock(own or 0)
 
@@ -53,7 +53,15 @@ class Engine:
         return self.store.log()
 
     def projection(self) -> projection.Projection:
-        return projection.fold(self.log())
+        """The fold of all events: of the latest snapshot there is, and of the events that it doesn't have yet."""
+        log = self.log()
+        last = projection.last_snapshot(log).first()
+        if last is None or not self.store.exists(f"snapshots/{last.state_hash}/CURRENT"):
+            return projection.fold(log)
+        base = self.store.snapshot(last.state_hash)
+        have = base.tips.select("machine", F.col("seq").alias("_have"))
+        rest = log.join(have, "machine", "left").where(F.col("_have").isNull() | (F.col("seq") > F.col("_have"))).drop("_have")
+        return projection.fold(rest, base)
 
     def catalog(self) -> DataFrame:
         found = self.store.current(f"catalog-{self.machine}", "catalog")
@@ -70,14 +78,17 @@ class Engine:
         start = self.clock.tick()
         rows = rows.withColumn("_n", F.row_number().over(w).cast("long")).withColumns({"hlc": F.col("_n") + F.lit(start - 1), "seq": F.col("_n") + F.lit(tip.seq if tip else -1)}).drop("_n", "_order")
         before = self.spark.createDataFrame([(self.machine, tip.hash)] if tip else [], "machine string, hash string")
-        entries = chain.linked(rows, before, {self.machine: self.key}).select(*empty.columns).persist()
-        try:
-            n = self.store.push(entries, self.machine)
-        finally:
-            entries.unpersist()
+        # links are serial, signatures aren't: they are made by all tasks, of the hashes as written down
+        links = self.store.stage("links", chain.linked(rows, before))
+        n = self.store.push(chain.signed(links, {self.machine: self.key}).select(*empty.columns), self.machine)
+        self._forget(links)
         self.clock.witness(start + n)
         return n
 
+    def _forget(self, *staged: DataFrame) -> None:
+        for df in staged:
+            self.store.unstage(df)
+
     # passes
 
     def run_pass(self, *, backup: bool = True) -> PassSummary:
@@ -85,17 +96,23 @@ class Engine:
         total = PassSummary()
         for root in self.config.roots:
             catalog = self.catalog()
-            walked = files.walk(self.spark, root, excludes="\n".join(self.config.excludes)).persist()
-            found = scan.classify(walked, inventory.under_root(catalog, root)).persist()
-            got = files.hashed(scan.to_hash(found).select("path", "size", "mtime", "file_id")).persist()
-            events = scan.events(found, got, root).persist()
+            # files may change at any time: what was seen is written down, and log and catalog come from that
+            staged: list[DataFrame] = []
+
+            def seen(name: str, df: DataFrame, staged: list[DataFrame] = staged) -> DataFrame:
+                staged.append(self.store.stage(name, df))
+                return staged[-1]
+
+            walked = seen("walk", files.walk(self.spark, root, excludes="\n".join(self.config.excludes), **self.config.scan_options))
+            found = seen("found", scan.classify(walked, inventory.under_root(catalog, root)))
+            got = seen("hashes", files.hashed(scan.to_hash(found).select("path", "size", "mtime", "file_id")))
+            events = seen("events", scan.events(found, got, root))
             n = {r.action: r["count"] for r in events.groupBy("action").count().collect()}
             done = events.where("action = 'pass_completed'").first()
             bad = found.where("status = 'unreadable'").count() + got.where("error is not null").count()
             self._append(events)
             self.store.replace(f"catalog-{self.machine}", {"catalog": scan.next_catalog(catalog, found, got, root, self.clock.current)})
-            for df in (walked, found, got, events):
-                df.unpersist()
+            self._forget(*staged)
             total = PassSummary(total.files_seen + done.files_seen, total.bytes_seen + done.bytes_seen, total.observed + n.get("observed", 0), total.vanished + n.get("vanished", 0), total.unreadable + bad)
         return self._with_backup(total) if backup else total
 
@@ -146,33 +163,43 @@ class Engine:
 
     # others' logs, and checks
 
+    def synced(self) -> DataFrame:
+        """machine, last_seq, hash: how far this machine has taken the logs of others."""
+        found = self.store.current(f"synced-{self.machine}", "synced")
+        return self.spark.createDataFrame([], SYNCED) if found is None else found
+
     def pull(self, synced: DataFrame | None = None) -> DataFrame:
-        """Events of other machines after ``synced`` (machine, last_seq, hash), verified; an error names the first fault."""
-        segments = self.store.segments().where(F.col("machine") != self.machine)
-        tips = None
-        if synced is not None:
-            segments, tips = inventory.new_segments(segments, synced), synced.select("machine", "hash")
-        rows = self.log().join(segments.select("machine", "seq_start"), ["machine", "seq_start"], "left_semi")
-        # consecutive segments of a machine are one chain
-        whole = rows.withColumns({"segment": F.col("machine"), "ord": F.col("seq")}).drop("seq_start")
-        heads = chain.segment_headers(whole).select(F.col("machine").alias("segment"), F.col("machine").alias("owner"), "seq_start", "seq_end", "tip_hash")
-        fault = chain.verify(whole, heads, tips, signatures=True).where("error is not null").orderBy("owner").first()
+        """Events of other machines since the last pull (or after ``synced``: machine, last_seq, hash), verified against the
+        headers they were pushed with; an error names the first fault. How far it came is kept in the store."""
+        synced = self.synced() if synced is None else synced
+        segments = inventory.new_segments(self.store.segments().where(F.col("machine") != self.machine), synced)
+        rows = self.store.stage("pulled", self.log().join(segments.select("machine", "seq_start"), ["machine", "seq_start"], "left_semi"))
+        fault = self._verified(rows, segments, synced).where("error is not null").orderBy("owner", "seq_start").first()
         if fault:
             raise ChainError(fault.error, fault.owner, fault.error_seq)
         last = rows.agg(F.max("hlc")).first()[0]
         if last:
             self.clock.witness(last)
+            tips = projection.chain_tips(rows).select("machine", F.col("seq").alias("last_seq"), "hash")
+            both = synced.select("machine", "last_seq", "hash").unionByName(tips).groupBy("machine").agg(F.max("last_seq").alias("last_seq"), F.max_by("hash", "last_seq").alias("hash"))
+            self.store.replace(f"synced-{self.machine}", {"synced": both})
         return rows
 
-    def check(self, *, all_machines: bool = False) -> DataFrame:
-        """owner, verified, first_error of this machine's log (or of all)."""
-        rows = self.log() if all_machines else self.log().where(F.col("machine") == self.machine)
-        segment = F.concat_ws("/", "machine", F.lpad(F.col("seq_start").cast("string"), 20, "0"))
-        rows = rows.withColumns({"segment": segment, "ord": F.col("seq")})
-        heads = rows.groupBy("segment", F.col("machine").alias("owner"), "seq_start").agg(F.max("seq").alias("seq_end"), F.max_by("hash", "seq").alias("tip_hash"), F.count("*").alias("n"))
-        # each segment goes on from the tip of the one before it
+    def _verified(self, rows: DataFrame, segments: DataFrame, synced: DataFrame | None = None) -> DataFrame:
+        """The first fault of each segment; each goes on from the tip of the one before it, the first from what is synced."""
+        name = F.concat_ws("/", "machine", F.lpad(F.col("seq_start").cast("string"), 20, "0")).alias("segment")
+        heads = segments.select(name, F.col("machine").alias("owner"), "seq_start", "seq_end", "tip_hash")
         heads = heads.withColumn("known", F.lag("tip_hash").over(chain.W.partitionBy("owner").orderBy("seq_start")))
-        return chain.check_own(chain.verify(rows.drop("seq_start"), heads.drop("n"), signatures=True), heads)
+        if synced is not None:
+            heads = heads.join(synced.select(F.col("machine").alias("owner"), F.col("hash").alias("_tip")), "owner", "left").withColumn("known", F.coalesce("known", "_tip")).drop("_tip")
+        return chain.verify(rows.select("*", name, F.col("seq").alias("ord")).drop("seq_start"), heads, signatures=True)
+
+    def check(self, *, all_machines: bool = False) -> DataFrame:
+        """owner, verified, first_error of this machine's log (or of all), against the headers that it was pushed with."""
+        own = F.lit(True) if all_machines else F.col("machine") == self.machine
+        segments = self.store.segments().where(own)
+        counts = segments.select(F.concat_ws("/", "machine", F.lpad(F.col("seq_start").cast("string"), 20, "0")).alias("segment"), "n")
+        return chain.check_own(self._verified(self.log().where(own), segments), counts)
 
     def status(self) -> DataFrame:
         return inventory.totals(self.projection().counts)

@@ -14,6 +14,9 @@ LOG = (
     "machine string, seq long, hlc long, action string, content string, path string, size long, mtime long, last_content string, "
     "root string, files_seen long, bytes_seen long, state_hash string, prev string, hash string, sig string"
 )
+#: What each row of a pushed segment says of the segment.
+SEGMENT = "seq_start long, seq_end long, tip_hash string"
+SYNCED = "machine string, last_seq long, hash string"
 ACTIONS = ("observed", "vanished", "backed", "pass_completed", "snapshot")
 #: Columns that an event's own hash covers, in order.
 BODY = ("machine", "seq", "hlc", "action", "content", "path", "size", "mtime", "last_content", "root", "files_seen", "bytes_seen", "state_hash")

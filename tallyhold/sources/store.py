@@ -1,8 +1,10 @@
 """The shared store: chunks, manifests, logs and snapshots under one URI of any file system that Spark reaches.
 
 Objects are rows of Parquet tables, ``chunks``, ``manifests``, ``log`` (partitioned by machine) and ``snapshots/<hash>``. Writes
-of objects are put-if-absent by their keys, so doing one again changes nothing. What is replaced (manifests after a
-collection, the projection of a pass) is written beside and then named by a pointer file, which is the commit.
+of objects are put-if-absent by their keys, so doing one again changes nothing. Nothing is ever taken out of a table: what is
+deleted is named by rows of a table beside it. What is replaced (the projection of a pass) is written beside and then
+named by a pointer file, which is the commit. A row of the log carries its segment's header, written before anyone
+reads it, so a segment that has lost or changed rows doesn't fit its own header any more.
 """
 
 from __future__ import annotations
@@ -16,12 +18,13 @@ from tallyhold.errors import IntegrityError, NotFoundError, SegmentOwnerError
 from tallyhold.functions.hashing import content_hash
 from tallyhold.operators.chunking import absent
 from tallyhold.operators.projection import Projection, state_hash
-from tallyhold.schemas import CHUNK_REFS, CHUNKS, LOG
+from tallyhold.schemas import CHUNK_REFS, CHUNKS, LOG, SEGMENT
 
 
 class Store:
     def __init__(self, spark: SparkSession, uri: str, options: dict[str, str] | None = None):
         self.spark, self.uri = spark, uri.rstrip("/")
+        self._staged: list[tuple[DataFrame, str]] = []
         for key, value in (options or {}).items():
             spark.sparkContext._jsc.hadoopConfiguration().set(key, value)
 
@@ -69,17 +72,43 @@ class Store:
         version = self._pointer(name)
         return None if version is None else self.spark.read.parquet(f"{self.uri}/{name}/{version}/{table}")
 
+    def drop(self, key: str) -> None:
+        """Delete what lies there, if anything does."""
+        fs, path = self._path(key)
+        fs.delete(path, True)
+
+    def stage(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` as written under the name: what is read of it stays the same, whatever becomes of its source."""
+        path = f"{self.uri}/staged/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        got = self.spark.read.schema(df.schema).parquet(path)
+        self._staged.append((got, path))
+        return got
+
+    def unstage(self, df: DataFrame) -> None:
+        """Delete what ``stage`` has written for this table."""
+        for got, path in self._staged:
+            if got is df:
+                self.drop(path.removeprefix(f"{self.uri}/"))
+        self._staged = [x for x in self._staged if x[0] is not df]
+
     # chunks and manifests
 
+    def _chunks(self) -> DataFrame:
+        """chunk_id, data, put: rows as stored, deleted ones left out."""
+        gone = self._read("chunks-deleted", "chunk_id string, put string")
+        return self._read("chunks", f"{CHUNKS}, put string").join(gone, ["chunk_id", "put"], "left_anti")
+
     def chunk_ids(self) -> DataFrame:
-        return self._read("chunks", CHUNKS).select("chunk_id")
+        return self._chunks().select("chunk_id")
 
     def put_chunks(self, chunks: DataFrame) -> None:
-        absent(chunks.select("chunk_id", "data"), self.chunk_ids()).write.mode("append").parquet(f"{self.uri}/chunks")
+        new = absent(chunks.select("chunk_id", "data"), self.chunk_ids())
+        new.withColumn("put", F.lit(uuid.uuid4().hex)).write.mode("append").parquet(f"{self.uri}/chunks")
 
     def chunks(self) -> DataFrame:
         """Chunks as stored, each id once (two writers may both have put one)."""
-        return self._read("chunks", CHUNKS).dropDuplicates(["chunk_id"])
+        return self._chunks().select("chunk_id", "data").dropDuplicates(["chunk_id"])
 
     def verified(self, ids: DataFrame) -> DataFrame:
         """chunk_id, data of these ids; an error if one has other bytes."""
@@ -91,14 +120,10 @@ class Store:
         return ids.join(self.chunk_ids(), "chunk_id", "left_semi")
 
     def delete_chunk(self, chunk_id: str) -> None:
-        rows = self._read("chunks", CHUNKS)
-        if rows.where(F.col("chunk_id") == chunk_id).isEmpty():
+        rows = self._chunks().where(F.col("chunk_id") == chunk_id).select("chunk_id", "put")
+        if rows.isEmpty():
             raise NotFoundError(f"chunk {chunk_id}")
-        left = f"chunks-{uuid.uuid4().hex}"
-        rows.where(F.col("chunk_id") != chunk_id).write.parquet(f"{self.uri}/{left}")
-        fs, old = self._path("chunks")
-        fs.delete(old, True)
-        fs.rename(self._path(left)[1], old)
+        rows.write.mode("append").parquet(f"{self.uri}/chunks-deleted")
 
     def manifests(self) -> DataFrame:
         """Manifest rows, those of deleted contents left out."""
@@ -125,27 +150,31 @@ class Store:
 
     # logs
 
+    def _log(self) -> DataFrame:
+        return self._read("log", f"{LOG}, {SEGMENT}")
+
     def log(self) -> DataFrame:
-        """Events of all machines, each once."""
-        return self._read("log", f"{LOG}, seq_start long").dropDuplicates(["machine", "seq", "hash"])
+        """Events of all machines, each once, with the start of their segment (seq_start)."""
+        return self._log().drop("seq_end", "tip_hash").dropDuplicates(["machine", "seq", "hash"])
 
     def machines(self) -> DataFrame:
-        return self._read("log", f"{LOG}, seq_start long").select("machine").distinct().orderBy("machine")
+        return self._log().select("machine").distinct().orderBy("machine")
 
     def segments(self, machine: str | None = None) -> DataFrame:
-        """machine, seq_start, seq_end, tip_hash, n of pushed segments, in the order of their starts."""
-        rows = self.log() if machine is None else self.log().where(F.col("machine") == machine)
-        found = rows.groupBy("machine", "seq_start").agg(F.max("seq").alias("seq_end"), F.max_by("hash", "seq").alias("tip_hash"), F.count("*").alias("n"))
+        """machine, seq_start, seq_end, tip_hash as pushed, and n, the events there are, in the order of their starts."""
+        rows = self._log() if machine is None else self._log().where(F.col("machine") == machine)
+        found = rows.groupBy("machine", "seq_start").agg(F.max("seq_end").alias("seq_end"), F.max("tip_hash").alias("tip_hash"), F.count_distinct("seq", "hash").alias("n"))
         return found.orderBy("machine", "seq_start")
 
     def push(self, entries: DataFrame, machine: str) -> int:
         """Append linked events of one's own log as a segment; returns how many."""
-        head = entries.agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.min("machine").alias("low"), F.max("machine").alias("high")).first()
+        head = entries.agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"), F.max_by("hash", "seq").alias("tip"), F.min("machine").alias("low"), F.max("machine").alias("high")).first()
         if not head.n:
             return 0
         if (head.low, head.high) != (machine, machine):
             raise SegmentOwnerError(f"a segment of {head.low} can't be pushed as {machine}")
-        entries.withColumn("seq_start", F.lit(head["first"]).cast("long")).write.mode("append").partitionBy("machine").parquet(f"{self.uri}/log")
+        header = {"seq_start": F.lit(head["first"]).cast("long"), "seq_end": F.lit(head["last"]).cast("long"), "tip_hash": F.lit(head.tip)}
+        entries.withColumns(header).write.mode("append").partitionBy("machine").parquet(f"{self.uri}/log")
         return head.n
 
     # snapshots

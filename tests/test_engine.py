@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import shutil
 import time
 
 import pytest
@@ -94,11 +95,112 @@ def test_machines_share_a_store(spark, place):
     assert two.pull(tips).count() == 3
     with pytest.raises(ChainError):
         two.pull(tips.withColumn("hash", F.lit("0" * 64)))
+    # what the pulls before have taken is known without being told
+    assert two.pull().isEmpty() and engine(spark, place, b"\x02").pull().isEmpty()
+    (place / "files/z").write_bytes(b"z")
+    one.run_pass()
+    assert two.pull().select("path").where("path is not null").collect() == [(str(place / "files/z"),)]
     with pytest.raises(SegmentOwnerError):
         two.store.push(got, two.machine)
     assert one.check(all_machines=True).where("first_error is not null").isEmpty()
 
 
+def rewritten(spark, place, change):
+    """The log with its rows changed, in place."""
+    path = place / "store/log"
+    log = spark.read.parquet(f"file://{path}")
+    rows = spark.createDataFrame(change(log).collect(), log.schema)
+    shutil.rmtree(path)
+    rows.write.partitionBy("machine").parquet(f"file://{path}")
+
+
+@pytest.mark.parametrize(
+    ("change", "error"),
+    [
+        (lambda log: log.where(F.col("seq") < F.col("seq_end") - 1), "last_not_end"),
+        (lambda log: log.withColumn("tip_hash", F.lit("0" * 64)), "tip_mismatch"),
+        (lambda log: log.where(F.col("seq") > F.col("seq_start")), "first_not_start"),
+        (lambda log: log.withColumn("hlc", F.col("hlc") + F.when(F.col("seq") == 1, 1).otherwise(0)), "invalid_hash"),
+        (lambda log: log.withColumn("sig", F.reverse("sig")), "invalid_signature"),
+    ],
+)
+def test_tampering_is_found(spark, place, change, error):
+    for name in "abc":
+        (place / "files" / name).write_bytes(name.encode())
+    own = engine(spark, place)
+    own.run_pass_metadata_only()
+    assert own.check().first().first_error is None
+    rewritten(spark, place, change)
+    assert own.check().first().first_error == error
+    with pytest.raises(ChainError, match=error):
+        engine(spark, place, b"\x02").pull()
+
+
+def test_a_pass_that_dies_between_log_and_catalog_is_taken_up(spark, place, monkeypatch):
+    for name in "ab":
+        (place / "files" / name).write_bytes(name.encode())
+    own = engine(spark, place)
+    monkeypatch.setattr(own.store, "replace", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        own.run_pass()
+    again = engine(spark, place)
+    second = again.run_pass()
+    assert (second.observed, second.vanished, second.backed_up) == (2, 0, 2)
+    assert tuple(again.check().first())[1:] == (again.log().count(), None)
+    assert again.status().first().locations == 2 and again.run_pass().observed == 0
+
+
+def test_the_projection_goes_on_from_a_snapshot(spark, place, monkeypatch):
+    (place / "files/x").write_bytes(b"x")
+    own = engine(spark, place)
+    own.run_pass()
+    own.snapshot()
+    (place / "files/y").write_bytes(b"y")
+    own.run_pass()
+    whole = projection.fold(own.log())
+    seen = []
+    fold_of = projection.fold
+    monkeypatch.setattr(projection, "fold", lambda log, onto=None: seen.append((log.count(), onto is not None)) or fold_of(log, onto))
+    got = own.projection()
+    assert seen == [(4, True)] and projection.state_hash(got.contents).first() == projection.state_hash(whole.contents).first()
+    for of in ("locations", "passes", "tips"):
+        assert sorted(map(tuple, getattr(got, of).collect())) == sorted(map(tuple, getattr(whole, of).collect()))
+
+
+def test_configuration(tmp_path, monkeypatch):
+    text = f"""roots = ["/a"]
+excludes = ["*.tmp"]
+[remote]
+kind = "s3"
+bucket = "b"
+prefix = "p"
+endpoint = "http://e"
+access_key_id_env = "OWN_ID"
+secret_access_key_env = "OWN_SECRET"
+[encryption]
+enabled = true
+salt_path = "{tmp_path}/deep/salt"
+[scan]
+follow_symlinks = true
+"""
+    config = Config.parse(text)
+    assert Config.parse(config.dump()) == config and config.store == "s3a://b/p" and config.scan_options == {"follow_symlinks": "true"}
+    config.write(str(tmp_path / "c.toml"))
+    assert Config.load(str(tmp_path / "c.toml")) == config
+    with pytest.raises(ConfigError, match="OWN_ID"):
+        config.secrets()
+    monkeypatch.setenv("OWN_ID", "i")
+    monkeypatch.setenv("OWN_SECRET", "s")
+    assert config.secrets() == {"fs.s3a.access.key": "i", "fs.s3a.secret.key": "s"}
+    salt = config.salt()
+    assert len(salt) == 16 and config.salt() == salt
+    (tmp_path / "deep/salt").write_bytes(b"short")
+    with pytest.raises(ConfigError):
+        config.salt()
+    local = Config(["/a"], "file:///s", retain_seconds=5)
+    assert Config.parse(local.dump()) == local
+
+
 def test_store(spark, place):
     store = Store(spark, f"file://{place}/s")
     rows = spark.createDataFrame([(sha(b"a"), bytearray(b"a")), (sha(b"b"), bytearray(b"b"))], "chunk_id string, data binary")
@@ -112,6 +214,9 @@ def test_store(spark, place):
     store.delete_chunk("f" * 64)
     with pytest.raises(NotFoundError):
         store.delete_chunk("f" * 64)
+    assert store.chunk_ids().count() == 2
+    store.put_chunks(spark.createDataFrame([("f" * 64, bytearray(b"again"))], rows.schema))
+    assert bytes(store.chunks().where(F.col("chunk_id") == "f" * 64).first().data) == b"again"
     with pytest.raises(NotFoundError):
         store.manifest("0" * 64)
     with pytest.raises(NotFoundError):
