@@ -8,7 +8,7 @@ content at once, by doubling, and only the positions where a mask matches are lo
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +41,14 @@ def _mask(bits: int) -> np.uint64:
     return np.uint64(sum(1 << (63 - 2 * k if k < 24 else 62 - 2 * (k - 24)) for k in range(bits)))
 
 
-def cuts(data: bytes, average: int = DEFAULT_AVERAGE) -> list[int]:
-    """End of each chunk; none for no bytes."""
+def cuts(data: bytes, average: int = DEFAULT_AVERAGE, before: bytes = b"") -> list[int]:
+    """End of each chunk; none for no bytes. ``before`` are the bytes that precede the data, up to 63 of them."""
     if average < LEAST_AVERAGE:
         raise ConfigError(f"the average chunk size is at least {LEAST_AVERAGE}")
     least, most, n = average // 4, average * 4, len(data)
     if not n:
         return []
-    h, bits = _gear_hashes(np.frombuffer(data, np.uint8)), average.bit_length() - 1
+    h, bits = _gear_hashes(np.frombuffer(before + data, np.uint8))[len(before) :], average.bit_length() - 1
     hard, easy = (np.flatnonzero((h & _mask(b)) == 0) + 1 for b in (bits + 1, bits - 1))
     ends, start = [], 0
     while start < n:
@@ -68,6 +68,29 @@ def cuts(data: bytes, average: int = DEFAULT_AVERAGE) -> list[int]:
     return ends
 
 
+def streamed(blocks: Iterable[bytes], average: int = DEFAULT_AVERAGE) -> Iterator[bytes]:
+    """The chunks of a content that comes in blocks, cut where ``cuts`` cuts the whole of it; memory holds a few of the largest."""
+    most, back, held = average * 4, b"", bytearray()
+
+    def ready(last: bool) -> Iterator[bytes]:
+        """Chunks whose end nothing that follows can move; the bytes before them are part of the hash's window."""
+        nonlocal back
+        start = 0
+        for end in cuts(bytes(held), average, back):
+            if end - start < most and not last and len(held) - start < most:
+                break
+            yield bytes(held[start:end])
+            start = end
+        back = (back + bytes(held[max(0, start - 63) : start]))[-63:]
+        del held[:start]
+
+    for block in blocks:
+        held += block
+        if len(held) >= 4 * most:
+            yield from ready(False)
+    yield from ready(True)
+
+
 def chunks(contents: DataFrame, average: int = DEFAULT_AVERAGE) -> DataFrame:
     """content, total_size, ordinal, offset, data of each chunk of (content, data); empty contents give none."""
     if average < LEAST_AVERAGE:

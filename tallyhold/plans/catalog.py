@@ -21,14 +21,22 @@ _SQL: dict[str, str] = {}
 NOW = 2_000_000_000 * 10**9
 
 
-def _query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
+def adder(queries: dict[str, Query], twins: dict[str, str]) -> Callable:
+    """A decorator that registers a query, with the SQL that gives the same rows."""
 
-    return add
+    def query(sql: str | None = None) -> Callable[[Query], Query]:
+        def add(f: Query) -> Query:
+            queries[f.__name__] = f
+            if sql:
+                twins[f.__name__] = sql
+            return f
+
+        return add
+
+    return query
+
+
+_query = adder(_QUERIES, _SQL)
 
 
 def _locations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,20 +223,41 @@ def chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain.verify(rows, named).join(heads.select(F.col("machine").alias("segment"), "n"), "segment").select(F.col("owner").alias("machine"), "error", "n")
 
 
-TAMPERED = "CASE CAST(machine AS BIGINT) % 5 WHEN 0 THEN 'non_contiguous' WHEN 1 THEN 'invalid_hash' WHEN 2 THEN 'broken_chain' WHEN 3 THEN 'tip_mismatch' END"
+FAULTS = "['" + "', '".join(chain.PRECEDENCE) + "']"
+FAULT_SEQ = "CASE CAST(machine AS BIGINT) % 14 WHEN 8 THEN 2 WHEN 9 THEN 3 WHEN 10 THEN 2 WHEN 11 THEN 2 WHEN 12 THEN 0 END"
 
 
-@_query(with_log(f" SELECT machine, {TAMPERED} AS error, CAST(CASE WHEN CAST(machine AS BIGINT) % 5 < 3 THEN CASE WHEN CAST(machine AS BIGINT) % 5 = 0 THEN 3 ELSE 2 END END AS BIGINT) AS error_seq FROM (SELECT machine, count(*) AS n FROM log GROUP BY machine) WHERE n > 5"))
+@_query(with_log(f" SELECT machine, list_extract({FAULTS}, CAST(CAST(machine AS BIGINT) % 14 AS BIGINT) + 1) AS error, CAST({FAULT_SEQ} AS BIGINT) AS error_seq FROM (SELECT machine, count(*) AS n FROM log GROUP BY machine) WHERE n > 5"))
 def chain_tampered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T6: chains with an event taken out, a field, a link or the header's tip changed, by machine; the faults found."""
+    """T6: each machine's chain with another fault, by its number, each of the thirteen kinds or none; the faults found."""
     rows = chain.linked(inventory_log(spark, sf_dir))
     heads = chain.segment_headers(rows).where("n > 5")
-    kind, at = F.col("machine").cast("long") % 5, F.col("seq")
-    rows = rows.where(~((kind == 0) & (at == 2)))
-    rows = rows.withColumns({"hlc": F.when((kind == 1) & (at == 2), F.col("hlc") + 1).otherwise(F.col("hlc")), "prev": F.when((kind == 2) & (at == 2), F.reverse("prev")).otherwise(F.col("prev"))})
-    rows = rows.withColumns({"segment": F.col("machine"), "ord": F.col("seq")})
-    named = heads.select(F.col("machine").alias("segment"), F.col("machine").alias("owner"), "seq_start", "seq_end", F.when(kind == 3, F.reverse("tip_hash")).otherwise(F.col("tip_hash")).alias("tip_hash"))
-    return chain.verify(rows, named).select(F.col("owner").alias("machine"), "error", "error_seq")
+    kind, at = F.col("machine").cast("long") % 14, F.col("seq")
+    other = F.lit("f" * 64)
+    # entries taken out: all, the first, the last, the third
+    rows = rows.join(heads.select("machine", F.col("seq_end").alias("_last")), "machine")
+    rows = rows.where(~((kind == 0) | (kind.isin(1, 5, 7) & (at == 0)) | ((kind == 2) & (at == F.col("_last"))) | ((kind == 9) & (at == 2)))).drop("_last")
+    rows = rows.withColumns(
+        {
+            "segment": F.col("machine"),
+            "ord": at,
+            "prev": F.when((kind == 4) & (at == 0), other).when((kind == 10) & (at == 2), F.reverse("prev")).otherwise(F.col("prev")),
+            "hlc": F.when((kind == 11) & (at == 2), F.col("hlc") + 1).otherwise(F.col("hlc")),
+            "machine": F.when((kind == 8) & (at == 2), F.lit("other")).otherwise(F.col("machine")),
+        }
+    )
+    named = heads.select(
+        F.col("machine").alias("segment"),
+        F.col("machine").alias("owner"),
+        F.when(kind.isin(5, 7), 1).otherwise(F.col("seq_start")).cast("long").alias("seq_start"),
+        "seq_end",
+        F.when(kind == 3, F.reverse("tip_hash")).otherwise(F.col("tip_hash")).alias("tip_hash"),
+        F.when(kind.isin(6, 7), other).alias("known"),
+    )
+    # entries of this log have no signatures, which only those of one kind are asked for
+    signed = F.col("owner").cast("long") % 14 == 12
+    found = chain.verify(rows, named.where(~signed)).unionByName(chain.verify(rows, named.where(signed), signatures=True))
+    return found.select(F.col("owner").alias("machine"), "error", "error_seq")
 
 
 @_query("SELECT conv_id AS machine, turn AS seq, before AS previous_seq FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE turn % 4 <> 2) WHERE turn - before <> 1")
@@ -418,8 +447,12 @@ def path_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from tallyhold.plans import scenarios
+
+    return _QUERIES | scenarios.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from tallyhold.plans import scenarios
+
+    return _SQL | scenarios.oracle_sql()

@@ -7,10 +7,14 @@ there last (dropped where nothing was), purchase backs up, signup completes a pa
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyhold.errors import ConfigError
 from tallyhold.operators.chain import number
 from tallyhold.schemas import LOG
 
@@ -19,6 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """The URI of a new folder, where driver and executors see the same: below ``spark.checkpoint.dir``, as the session names
+    it, or a temporary one of a session that runs in one process."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not place:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ConfigError("spark.checkpoint.dir must name a folder that driver and executors share")
+        place = "file://" + tempfile.mkdtemp(prefix="tallyhold-")
+    return f"{place.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
 def inventory_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
     # timestamps have no zone: microseconds are taken without one

@@ -67,7 +67,7 @@ class Engine:
         found = self.store.current(f"catalog-{self.machine}", "catalog")
         return self.spark.createDataFrame([], CATALOG) if found is None else found
 
-    def _append(self, events: DataFrame) -> int:
+    def append(self, events: DataFrame) -> int:
         """Number, date, link, sign and push events of this machine."""
         tip = projection.chain_tips(self.log().where(F.col("machine") == self.machine)).first()
         empty = self.spark.createDataFrame([], LOG)
@@ -110,7 +110,7 @@ class Engine:
             n = {r.action: r["count"] for r in events.groupBy("action").count().collect()}
             done = events.where("action = 'pass_completed'").first()
             bad = found.where("status = 'unreadable'").count() + got.where("error is not null").count()
-            self._append(events)
+            self.append(events)
             self.store.replace(f"catalog-{self.machine}", {"catalog": scan.next_catalog(catalog, found, got, root, self.clock.current)})
             self._forget(*staged)
             total = PassSummary(total.files_seen + done.files_seen, total.bytes_seen + done.bytes_seen, total.observed + n.get("observed", 0), total.vanished + n.get("vanished", 0), total.unreadable + bad)
@@ -138,7 +138,7 @@ class Engine:
             none = data.where(F.octet_length("data") == 0).select("content")
             self.store.put_manifests(rows.unionByName(none.select("content", F.lit(None).cast("int").alias("ordinal"), F.lit(0).cast("long").alias("total_size"), F.lit(1).alias("version"), F.lit(self.clock.current).cast("long").alias("created_at")), allowMissingColumns=True))
             n = data.count()
-            self._append(data.select(F.lit("backed").alias("action"), "content"))
+            self.append(data.select(F.lit("backed").alias("action"), "content"))
             found.unpersist()
             return PassSummary(summary.files_seen, summary.bytes_seen, summary.observed, summary.vanished, summary.unreadable, n, counts.chunks_total, counts.chunks_uploaded, counts.bytes_uploaded)
         finally:
@@ -220,5 +220,5 @@ class Engine:
     def snapshot(self) -> str:
         """Write the projection as a snapshot, and log that."""
         value = self.store.put_snapshot(self.projection())
-        self._append(self.spark.createDataFrame([("snapshot", value)], "action string, state_hash string"))
+        self.append(self.spark.createDataFrame([("snapshot", value)], "action string, state_hash string"))
         return value

@@ -85,15 +85,26 @@ def test_recovery_phrases():
 
 def test_phrase_entry():
     words = crypto.WordList(WORDS)
-    entry = crypto.PhraseInput(words, 12)
-    assert entry.shortcuts() is None and not entry.push("z") and entry.push("B") and entry.push("a")
-    assert entry.shortcuts() is None and entry.push("b") and entry.accepted() == "bab" and entry.shortcut(0) == "bab"
-    entry.commit("bab")
-    assert entry.words == ["bab"] and entry.buffer == "" and entry.backspace() and entry.buffer == "bab" and not entry.words
-    entry.commit("bab")
-    for w in words.generate(12).split()[1:]:
-        entry.commit(w)
-    assert entry.complete and not entry.push("b")
+
+    def after(entry, *keys):
+        for key in keys:
+            entry = crypto.typed(words, 12, entry, key)
+        return entry
+
+    none = crypto.Entry()
+    assert after(none, "z") == after(none, "enter") == after(none, "1") == after(none, "back") == none and not crypto.offered(words, none)
+    assert after(none, "B", "a").letters == "ba" and not crypto.offered(words, after(none, "b", "a"))
+    three = after(none, "b", "a", "b")
+    assert crypto.offered(words, three)["1"] == "bab" and after(three, "1") == after(three, "enter") == crypto.Entry(("bab",))
+    assert after(three, "enter", "back") == three and after(three, "back").letters == "ba"
+    phrase = words.generate(12).split()
+    whole = none
+    for w in phrase:
+        whole = after(whole, *w, "enter")
+    assert whole == crypto.Entry(tuple(phrase)) and after(whole, "b") == whole and words.validate(" ".join(whole.done))
+    assert after(whole, "back").done == tuple(phrase[:-1])
+    with pytest.raises(ConfigError):
+        crypto.typed(words, 13, none, "a")
 
 
 def test_machine_key(tmp_path):
