@@ -84,7 +84,8 @@ def _run(args: argparse.Namespace, spark: SparkSession | None) -> int:
         for r in engine.projection().passes.orderBy("machine", "root").collect():
             print(f"pass {r.machine[:12]} {r.root}: {r.files_seen} files, {r.bytes_seen} bytes")
     elif args.command in ("dupes", "orphans"):
-        rows = (inventory.duplicates if args.command == "dupes" else inventory.orphans)(engine.projection().contents)
+        found = engine.projection()
+        rows = projection.listed((inventory.duplicates if args.command == "dupes" else inventory.orphans)(found.counts), found.locations)
         for r in rows.orderBy("content").toLocalIterator():
             print(f"{r.content} {r['size']} " + " ".join(f"{x.machine[:12]}:{x.path}" for x in r.live_locations))
     elif args.command == "locate":

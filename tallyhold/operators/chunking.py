@@ -149,20 +149,25 @@ def coverage(rows: DataFrame) -> DataFrame:
     return at.groupBy("content").agg((F.min(F.col("_before") == F.col("offset")) & (F.sum("length") == F.max("total_size"))).alias("covered"))
 
 
+def parts(rows: DataFrame, chunk_store: DataFrame, transform: ChunkTransform | None = None) -> DataFrame:
+    """content, ordinal, plain, fault of each chunk of a manifest: fault (null: none) is what failed first of version, missing,
+    corrupt, undecipherable, length."""
+    got = plain_lengths(rows).join(chunk_store.select("chunk_id", "data"), "chunk_id", "left")
+    got = got.withColumn("plain", (transform or Identity()).reverse(F.col("data")))
+    fault = (
+        F.when(F.col("version") != 1, "version").when(F.col("data").isNull(), "missing").when(content_hash(F.col("data")) != F.col("chunk_id"), "corrupt").when(F.col("plain").isNull(), "undecipherable").when(F.octet_length("plain") != F.col("length"), "length")
+    )
+    return got.select("content", "ordinal", "plain", fault.alias("fault"))
+
+
 def restored(rows: DataFrame, chunk_store: DataFrame, transform: ChunkTransform | None = None) -> DataFrame:
     """content, data, error of each content: error says what failed first (version, missing, corrupt, undecipherable, length, hash).
 
     Nothing of a content that doesn't verify is given: its data is null.
     """
-    rows = plain_lengths(rows)
-    got = rows.join(chunk_store.select("chunk_id", "data"), "chunk_id", "left")
-    plain: Column = (transform or Identity()).reverse(F.col("data"))
-    got = got.withColumn("plain", plain)
-    fault = (
-        F.when(F.col("version") != 1, "version").when(F.col("data").isNull(), "missing").when(content_hash(F.col("data")) != F.col("chunk_id"), "corrupt").when(F.col("plain").isNull(), "undecipherable").when(F.octet_length("plain") != F.col("length"), "length")
-    )
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "plain"))), lambda x: x["plain"])
-    whole = got.withColumn("fault", fault).groupBy("content").agg(parts.alias("parts"), F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("ordinal"))).alias("error"))
+    got = parts(rows, chunk_store, transform)
+    held = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "plain"))), lambda x: x["plain"])
+    whole = got.groupBy("content").agg(held.alias("parts"), F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("ordinal"))).alias("error"))
     joined = F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x)), ""))
     whole = whole.withColumn("data", F.when(F.col("error").isNull(), joined))
     wrong = F.col("error").isNull() & ~content_hash(F.col("data")).eqNullSafe(F.col("content"))

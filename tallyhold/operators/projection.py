@@ -118,12 +118,20 @@ def fold(log: DataFrame, onto: Projection | None = None) -> Projection:
     return Projection(location_state(events), facts, passes, tips)
 
 
-def state_hash(contents: DataFrame) -> DataFrame:
+def listed(contents: DataFrame, locations: DataFrame) -> DataFrame:
+    """Contents with a number (``content_counts``), or some of them, with the list of their live locations in place of it."""
+    return content_index(contents.drop("live"), locations.join(contents.select("content"), "content", "left_semi"))
+
+
+def state_hash(found: Projection) -> DataFrame:
     """One row: a hash of the content index that doesn't depend on the order of anything.
 
-    The hashes of its rows are added up in pieces of seven digits, which merge like any sum, and the sums hashed.
+    Facts and live locations are rows, each hashed by itself, so a content may have any number of places. The hashes are added
+    up in pieces of seven digits, which merge like any sum, and the sums hashed.
     """
-    row = F.sha2(F.concat_ws("|", "content", "size", "backed_up", "first_seen", "last_seen", F.array_join(F.transform("live_locations", lambda x: F.concat(x["machine"].cast("string"), F.lit(":"), x["path"])), ",")), 256)
+    zero = F.lit(0).cast("long")
+    facts = found.facts.select(F.concat_ws("|", F.lit("c"), "content", "size", "backed_up", F.coalesce("first_seen", zero), F.coalesce("last_seen", zero)).alias("row"))
+    places = found.locations.where("state = 'live'").select(F.concat_ws("|", F.lit("l"), "content", "machine", "path").alias("row"))
     pieces = [F.coalesce(F.sum(F.conv(F.substring("h", 1 + 7 * k, 7), 16, 10).cast("long")), F.lit(0)).alias(f"p{k}") for k in range(9)]
-    sums = contents.select(row.alias("h")).agg(F.count("*").alias("n"), *pieces)
+    sums = facts.unionByName(places).select(F.sha2("row", 256).alias("h")).agg(F.count("*").alias("n"), *pieces)
     return sums.select(F.sha2(F.concat_ws("|", "n", *(f"p{k}" for k in range(9))), 256).alias("state_hash"))

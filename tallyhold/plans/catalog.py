@@ -77,13 +77,15 @@ def content_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(with_log(f" {CONTENTS} WHERE live > 1", LOCATION_SQL, CONTENT_SQL))
 def dupes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT1, FLT3: contents in several places."""
-    return _flat(inventory.duplicates(_contents(spark, sf_dir)))
+    found = projection.fold(inventory_log(spark, sf_dir))
+    return _flat(projection.listed(inventory.duplicates(found.counts), found.locations))
 
 
 @_query(with_log(f" {CONTENTS} WHERE live = 0 AND backed_up", LOCATION_SQL, CONTENT_SQL))
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT2, FLT4: contents backed up that no place has any more."""
-    return _flat(inventory.orphans(_contents(spark, sf_dir)))
+    found = projection.fold(inventory_log(spark, sf_dir))
+    return inventory.orphans(found.counts).withColumn("places", F.lit(""))
 
 
 @_query(with_log(" SELECT machine, path, last_hlc, last_seq, state, content FROM location_state WHERE content = sha256('1')", LOCATION_SQL))
@@ -318,9 +320,15 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).groupBy(hashing.content_hash(F.col("data")).alias("content")).agg(F.count("*").alias("files"), F.max(F.octet_length("data")).cast("long").alias("size"), F.min("doc_id").alias("first_doc"))
 
 
+def _distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """content, data of the documents, each content once: chosen by hash and key, so that no text is shuffled to find its equals."""
+    docs = _documents(spark, sf_dir).withColumn("content", hashing.content_hash(F.col("data")))
+    chosen = docs.where("content is not null").groupBy("content").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return docs.join(chosen, "doc_id", "left_semi").select("content", "data")
+
+
 def _cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _documents(spark, sf_dir).select(hashing.content_hash(F.col("data")).alias("content"), "data").dropDuplicates(["content"])
-    return chunking.stored(chunking.chunks(found, 1024))
+    return chunking.stored(chunking.chunks(_distinct(spark, sf_dir), 1024))
 
 
 DISTINCT_DOCS = "SELECT DISTINCT sha256(text) AS content, strlen(text) AS total_size FROM documents WHERE strlen(text) > 0"
@@ -344,7 +352,7 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"SELECT content, content AS restored_hash, CAST(NULL AS VARCHAR) AS error FROM ({DISTINCT_DOCS})")
 def backup_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4, T5, JN6, SRC11: documents cut, encrypted, stored, fetched, decrypted, put together and verified."""
-    found = _documents(spark, sf_dir).select(hashing.content_hash(F.col("data")).alias("content"), "data").dropDuplicates(["content"])
+    found = _distinct(spark, sf_dir)
     own = Encrypt(bytes(range(32)))
     cut = chunking.stored(chunking.chunks(found, 1024), own)
     got = chunking.restored(chunking.refs(cut, 1), cut.select("chunk_id", "data").dropDuplicates(["chunk_id"]), own)
@@ -401,7 +409,8 @@ def manifest_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     with_log(
-        """, rows AS (SELECT sha256(concat_ws('|', content, size, CAST(backed_up AS VARCHAR), first_seen, last_seen, places)) AS h FROM content_index),
+        """, rows AS (SELECT sha256(concat_ws('|', 'c', content, size, CAST(backed_up AS VARCHAR), first_seen, last_seen)) AS h FROM content_index
+UNION ALL SELECT sha256(concat_ws('|', 'l', content, machine, path)) FROM location_state WHERE state = 'live'),
 sums AS (SELECT k, CAST(sum(CAST('0x' || substr(h, 1 + 7 * k, 7) AS BIGINT)) AS VARCHAR) AS p FROM rows, (SELECT unnest(range(9)) AS k) GROUP BY k)
 SELECT sha256((SELECT CAST(count(*) AS VARCHAR) FROM rows) || '|' || string_agg(p, '|' ORDER BY k)) AS state_hash FROM sums""",
         LOCATION_SQL,
@@ -410,7 +419,7 @@ SELECT sha256((SELECT CAST(count(*) AS VARCHAR) FROM rows) || '|' || string_agg(
 )
 def state_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG16, SNK4, ORD3: a hash of the whole state."""
-    return projection.state_hash(_contents(spark, sf_dir))
+    return projection.state_hash(projection.fold(inventory_log(spark, sf_dir)))
 
 
 @_query(with_log(" " + CONTENTS, LOCATION_SQL, CONTENT_SQL))

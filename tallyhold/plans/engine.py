@@ -5,7 +5,10 @@ The log is written first and everything else is derived from it, so a run that e
 
 from __future__ import annotations
 
+import hashlib
+import os
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -145,21 +148,33 @@ class Engine:
             data.unpersist()
 
     def restore(self, content: str, out: str) -> None:
-        """Write the content to a file, once all of it has been verified."""
-        rows = self.store.manifest(content)
-        if rows.where("ordinal is not null").isEmpty():
-            data = b""
-        else:
-            got = chunking.restored(rows, self.store.chunks(), self.transform).first()
-            if got.error == "version":
+        """Write the content to a file, once all of it has been verified.
+
+        Chunks are verified and decrypted by the tasks, and come to the file one part after the other; it gets its name last.
+        """
+        rows = self.store.manifest(content).where("ordinal is not null")
+        got = self.store.stage("restored", chunking.parts(rows, self.store.chunks(), self.transform).repartitionByRange("ordinal").sortWithinPartitions("ordinal"))
+        beside = f"{out}.{uuid.uuid4().hex}.part"
+        try:
+            bad = got.where("fault is not null").orderBy("ordinal").select("fault").first()
+            if bad and bad.fault == "version":
                 raise UnsupportedVersionError(f"the manifest of {content}")
-            if got.error == "missing":
+            if bad and bad.fault == "missing":
                 raise NotFoundError(f"a chunk of {content}")
-            if got.error:
-                raise IntegrityError(f"{content}: {got.error}")
-            data = bytes(got.data)
-        with open(out, "wb") as f:
-            f.write(data)
+            if bad:
+                raise IntegrityError(f"{content}: {bad.fault}")
+            whole = hashlib.sha256()
+            with open(beside, "wb") as f:
+                for r in got.select("ordinal", "plain").orderBy("ordinal").select("plain").toLocalIterator():
+                    whole.update(r.plain)
+                    f.write(r.plain)
+            if whole.hexdigest() != content:
+                raise IntegrityError(f"{content}: hash")
+            os.replace(beside, out)
+        finally:
+            self.store.unstage(got)
+            if os.path.exists(beside):
+                os.unlink(beside)
 
     # others' logs, and checks
 

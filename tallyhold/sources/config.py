@@ -46,7 +46,8 @@ class Config:
                 store, options = remote["path"], {}
             elif kind in ("r2", "s3"):
                 store = f"s3a://{remote['bucket']}/{remote.get('prefix', '')}".rstrip("/")
-                names = (remote["access_key_id_env"], remote["secret_access_key_env"])
+                # without names the store's own chain of credentials counts
+                names = (remote["access_key_id_env"], remote["secret_access_key_env"]) if "access_key_id_env" in remote else None
                 options = {"fs.s3a.endpoint": remote["endpoint"], "fs.s3a.endpoint.region": remote.get("region", "auto")}
             else:
                 raise ConfigError(f"remote.kind {kind!r} isn't known")

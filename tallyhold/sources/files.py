@@ -1,8 +1,9 @@
 """File trees as a Spark data source (``filetree``), and hashing of the files that it finds.
 
 Options: ``path`` (the root), ``excludes`` (globs, one a line), ``follow_symlinks``, ``cross_mounts``, ``respect_gitignore``
-(true by default). Regular files only, hidden ones too; links aren't followed, other file systems not entered. The root's
-sub-trees are the partitions. A file or folder that can't be read is a row with an error, and never stops the walk.
+(true by default). Regular files only, hidden ones too; links aren't followed, other file systems not entered. Partitions are
+sub-trees, from the root down until there are ``TREES`` of them. Ignore rules come from ``.gitignore``, ``.ignore`` and
+``.git/info/exclude``, of the folders above the root too, up to the repository that it lies in. A file or folder that can't be read is a row with an error, and never stops the walk.
 """
 
 from __future__ import annotations
@@ -53,9 +54,15 @@ class Rules:
         return found
 
 
+#: Sub-trees that a walk is split into, about.
+TREES = 64
+
+
 class Tree(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    """A folder to walk, with all below it or without."""
+
+    def __init__(self, path: str, deep: bool):
+        self.path, self.deep = path, deep
 
 
 class FileTreeReader(DataSourceReader):
@@ -67,22 +74,58 @@ class FileTreeReader(DataSourceReader):
 
     def partitions(self):
         try:
-            entries = sorted(os.scandir(self.root), key=lambda e: e.name)
+            os.scandir(self.root).close()
+            device = os.stat(self.root).st_dev
         except OSError as e:
             raise ScanError(f"{self.root}: {e}") from e
-        return [Tree(self.root + "/"), *(Tree(e.path) for e in entries if e.is_dir(follow_symlinks=self.follow))]
+        flat, whole = [], [self.root]
+        # breadth first: a folder is taken by itself, and each one in it becomes a tree
+        while whole and len(whole) < TREES:
+            below = []
+            for folder in whole:
+                flat.append(folder)
+                below += self._folders(folder, device)
+            whole = below
+        return [*(Tree(x, False) for x in flat), *(Tree(x, True) for x in whole)]
+
+    def _folders(self, folder: str, device: int) -> list[str]:
+        """The folders in this one that a walk enters; one that can't be listed is left to its own walk, which says so."""
+        out, rules = [], self._above(folder) + self._rules(folder)
+        try:
+            for e in sorted(os.scandir(folder), key=lambda e: e.name):
+                if e.is_dir(follow_symlinks=self.follow) and not self._skipped(e.path, True, rules):
+                    info = e.stat(follow_symlinks=self.follow)
+                    loops = self.follow and os.path.realpath(folder).startswith(os.path.realpath(e.path))
+                    if (self.cross or info.st_dev == device) and not loops:
+                        out.append(e.path)
+        except OSError:
+            pass
+        return out
 
     def _rules(self, folder: str) -> list[Rules]:
         out = []
-        if self.ignore:
-            for name in (".gitignore", ".ignore"):
-                try:
-                    with open(os.path.join(folder, name), encoding="utf-8", errors="replace") as f:
-                        out.append(Rules(folder, f.readlines()))
-                except OSError:
-                    pass
+        for name in (".git/info/exclude", ".gitignore", ".ignore") if self.ignore else ():
+            try:
+                with open(os.path.join(folder, name), encoding="utf-8", errors="replace") as f:
+                    out.append(Rules(folder, f.readlines()))
+            except OSError:
+                pass
         return out
 
+    def _above(self, folder: str) -> list[Rules]:
+        """Rules of the folders above this one, the outermost first: up to the root, and beyond it up to the repository."""
+        chain, at = [], folder
+        while at != os.path.dirname(at):
+            inside = at != self.root and at.startswith(self.root.rstrip("/") + "/")
+            if not inside and os.path.exists(os.path.join(at, ".git")):
+                break
+            at = os.path.dirname(at)
+            chain.append(at)
+        else:
+            # no repository: nothing above the root counts
+            chain = [x for x in chain if (x + "/").startswith(self.root.rstrip("/") + "/")]
+        return [r for x in reversed(chain) for r in self._rules(x)]
+
     def _skipped(self, path: str, is_dir: bool, rules: list[Rules]) -> bool:
         rel = PurePosixPath(os.path.relpath(path, self.root))
         if any(rel.full_match(g) or rel.full_match(f"**/{g}") or (g.endswith("/**") and is_dir and rel.full_match(g[:-3])) for g in self.excludes):
@@ -114,14 +157,8 @@ class FileTreeReader(DataSourceReader):
                 yield e.path, None, None, None, str(error)
 
     def read(self, partition):
-        device = os.stat(self.root).st_dev
-        if partition.path == self.root + "/":
-            yield from self._walk(self.root, [], False, device, frozenset())
-            return
-        rules = self._rules(self.root)
-        info = os.stat(partition.path)
-        if not self._skipped(partition.path, True, rules) and (self.cross or info.st_dev == device):
-            yield from self._walk(partition.path, rules, True, device, frozenset({info.st_ino}))
+        seen = frozenset({os.stat(partition.path).st_ino} if os.path.exists(partition.path) else ())
+        yield from self._walk(partition.path, self._above(partition.path), partition.deep, os.stat(self.root).st_dev, seen)
 
 
 class FileTree(DataSource):

@@ -62,11 +62,15 @@ class Store:
         context.rename(beside, path, rename)
 
     def replace(self, name: str, tables: dict[str, DataFrame]) -> None:
-        """Write all tables as one new version, which readers see whole or not at all."""
-        version = uuid.uuid4().hex
+        """Write all tables as one new version, which readers see whole or not at all; of the older ones the last stays."""
+        version, last = uuid.uuid4().hex, self._pointer(name)
         for table, df in tables.items():
             df.write.parquet(f"{self.uri}/{name}/{version}/{table}")
         self._commit(name, version)
+        fs, path = self._path(name)
+        for old in fs.listStatus(path):
+            if old.isDirectory() and old.getPath().getName() not in (version, last):
+                fs.delete(old.getPath(), True)
 
     def current(self, name: str, table: str) -> DataFrame | None:
         version = self._pointer(name)
@@ -181,7 +185,7 @@ class Store:
 
     def put_snapshot(self, projection: Projection) -> str:
         """Write the projection under its content index's hash; returns that."""
-        value = state_hash(projection.contents).first().state_hash
+        value = state_hash(projection).first().state_hash
         if not self.exists(f"snapshots/{value}/CURRENT"):
             self.replace(f"snapshots/{value}", projection.tables())
         return value
@@ -191,6 +195,6 @@ class Store:
         if None in tables.values():
             raise NotFoundError(f"snapshot {value}")
         found = Projection(**tables)
-        if state_hash(found.contents).first().state_hash != value:
+        if state_hash(found).first().state_hash != value:
             raise IntegrityError(f"snapshot {value} has another hash")
         return found

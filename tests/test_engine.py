@@ -162,7 +162,7 @@ def test_the_projection_goes_on_from_a_snapshot(spark, place, monkeypatch):
     fold_of = projection.fold
     monkeypatch.setattr(projection, "fold", lambda log, onto=None: seen.append((log.count(), onto is not None)) or fold_of(log, onto))
     got = own.projection()
-    assert seen == [(4, True)] and projection.state_hash(got.contents).first() == projection.state_hash(whole.contents).first()
+    assert seen == [(4, True)] and projection.state_hash(got).first() == projection.state_hash(whole).first()
     for of in ("locations", "passes", "tips"):
         assert sorted(map(tuple, getattr(got, of).collect())) == sorted(map(tuple, getattr(whole, of).collect()))
 
@@ -232,13 +232,13 @@ def test_snapshot(spark, place):
     own.run_pass()
     value = own.snapshot()
     back = own.store.snapshot(value)
-    assert projection.state_hash(back.contents).first().state_hash == value
+    assert projection.state_hash(back).first().state_hash == value
     assert projection.last_snapshot(own.log()).first().state_hash == value
     (place / "files/y").write_bytes(b"y")
     own.run_pass()
     late = inventory.unneeded_dropped(own.store.segments(), back.tips)
     rest = own.log().join(late.select("machine", "seq_start"), ["machine", "seq_start"], "left_semi")
-    assert projection.state_hash(projection.fold(rest, back).contents).first() == projection.state_hash(own.projection().contents).first()
+    assert projection.state_hash(projection.fold(rest, back)).first() == projection.state_hash(own.projection()).first()
 
 
 def test_streamed_fold_is_the_batch_fold(spark, place):
@@ -252,7 +252,7 @@ def test_streamed_fold_is_the_batch_fold(spark, place):
     q = fold.keep_folded(fold.log_stream(spark, uri, files_per_batch=1), own.store, f"file://{place}/cp1")
     assert q.awaitTermination(120)
     got = projection.Projection(**{t: own.store.current("projection", t) for t in ("locations", "facts", "passes", "tips")})
-    assert projection.state_hash(got.contents).first() == projection.state_hash(want.contents).first()
+    assert projection.state_hash(got).first() == projection.state_hash(want).first()
     live = fold.live_locations(fold.log_stream(spark, uri))
     q = live.writeStream.outputMode("complete").format("memory").queryName("live").option("checkpointLocation", f"file://{place}/cp2").trigger(availableNow=True).start()
     assert q.awaitTermination(120)

@@ -40,6 +40,33 @@ def test_walk(spark, tmp_path):
     assert ScanError
 
 
+def test_rules_of_a_repository_and_of_folders_above(spark, tmp_path):
+    put(tmp_path, {"repo/.git/info/exclude": b"own.txt\n", "repo/.gitignore": b"*.log\n/root/deep/x\n", "repo/root/a.log": b"", "repo/root/b": b"", "repo/root/own.txt": b"", "repo/root/deep/x": b"", "repo/root/deep/y": b"", "repo/root/deep/.ignore": b"z*\n", "repo/root/deep/er/zz": b"", ".ignore": b"b\n"})
+    root = tmp_path / "repo/root"
+    assert names(root, files.walk(spark, str(root))) == ["b", "deep/.ignore", "deep/y"]
+    # outside a repository nothing above the root counts
+    put(tmp_path, {"plain/root/c.log": b"", "plain/.gitignore": b"*.log\n"})
+    assert names(tmp_path / "plain/root", files.walk(spark, str(tmp_path / "plain/root"))) == ["c.log"]
+
+
+def test_a_walk_is_split_below_the_root(spark, tmp_path):
+    tree = {f"one/{a}/{b}/f{c}": b"" for a in range(5) for b in range(20) for c in range(2)} | {"one/top": b"", "skip/x": b"", ".gitignore": b"skip/\n"}
+    put(tmp_path, tree)
+    os.symlink(tmp_path, tmp_path / "one/0/loop")
+    parts = files.FileTreeReader({"path": str(tmp_path)}).partitions()
+    assert sum(p.deep for p in parts) == 100 and not any("skip" in p.path for p in parts)
+    assert names(tmp_path, files.walk(spark, str(tmp_path))) == sorted(x for x in tree if x != "skip/x")
+    followed = files.walk(spark, str(tmp_path), follow_symlinks="true")
+    assert names(tmp_path, followed) == sorted(x for x in tree if x != "skip/x")
+
+
+@pytest.mark.parametrize("size", [1, 100, 5000, 100_000])
+def test_a_stream_is_cut_as_the_whole_is(size):
+    for data in (b"", random.Random(1).randbytes(40_000), bytes(30_000), b"ab" * 9000):
+        ends = chunking.cuts(data, 256)
+        assert list(chunking.streamed((data[i : i + size] for i in range(0, len(data), size)), 256)) == [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else True
+
+
 def test_hashes(spark, tmp_path):
     put(tmp_path, {"a": b"x" * 200_000, "b": b""})
     df = spark.createDataFrame([(str(tmp_path / n),) for n in ("a", "b", "gone")], "path string")
