@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,10 +22,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session's ``spark.checkpoint.dir`` names it.
 
-    Only where that is unset (local tests) a temporary folder is made and set.
+    Only where that is unset, and the session runs in one process (local tests), a temporary folder is made and set: on a
+    cluster every executor would write to a folder of its own.
     """
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = "file://" + tempfile.mkdtemp(prefix="tallyhold-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -35,11 +39,21 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: cuts the lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, **options)
+    got = df.sparkSession.read.schema(df.schema).parquet(path)
+    got.staged_at = path
+    return got
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete what ``staged`` has written for these tables, once nothing reads them any more."""
+    for df in tables:
+        jvm, path = df.sparkSession.sparkContext._jvm, df.staged_at
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def prepared(spark: SparkSession, rows: int = 1000) -> SparkSession:
