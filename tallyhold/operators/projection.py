@@ -7,6 +7,7 @@ logical clock go to the higher sequence number, then to the later machine.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,16 +107,22 @@ class Projection:
 
 def fold(log: DataFrame, onto: Projection | None = None) -> Projection:
     """The projection of a log, or of a snapshot and the events since; events that the snapshot has may come again."""
-    events, facts = location_events(log), content_facts(log)
-    passes, tips = pass_stats(log, "machine", "root"), chain_tips(log)
-    if onto:
-        old = onto.locations.select("machine", "path", F.col("last_hlc").alias("hlc"), F.col("last_seq").alias("seq"), "state", "content")
-        events = old.unionByName(events)
-        facts = onto.facts.unionByName(facts).groupBy("content").agg(F.max("size").alias("size"), F.max("backed_up").alias("backed_up"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
-        top = F.max_by(F.struct("files_seen", "bytes_seen"), "last_pass_hlc")
-        passes = onto.passes.unionByName(passes).groupBy("machine", "root").agg(top.alias("top"), F.max("last_pass_hlc").alias("last_pass_hlc")).select("machine", "root", "top.files_seen", "top.bytes_seen", "last_pass_hlc")
-        tips = onto.tips.unionByName(tips).groupBy("machine").agg(F.max("seq").alias("seq"), F.max_by("hash", "seq").alias("hash"))
-    return Projection(location_state(events), facts, passes, tips)
+    own = Projection(location_state(location_events(log)), content_facts(log), pass_stats(log, "machine", "root"), chain_tips(log))
+    return merged([onto, own]) if onto else own
+
+
+def merged(parts: list[Projection]) -> Projection:
+    """The projection of all events that any of these are projections of."""
+
+    def all_of(name: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, (getattr(p, name) for p in parts))
+
+    places = all_of("locations").select("machine", "path", F.col("last_hlc").alias("hlc"), F.col("last_seq").alias("seq"), "state", "content")
+    facts = all_of("facts").groupBy("content").agg(F.max("size").alias("size"), F.max("backed_up").alias("backed_up"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    top = F.max_by(F.struct("files_seen", "bytes_seen"), "last_pass_hlc")
+    passes = all_of("passes").groupBy("machine", "root").agg(top.alias("top"), F.max("last_pass_hlc").alias("last_pass_hlc")).select("machine", "root", "top.files_seen", "top.bytes_seen", "last_pass_hlc")
+    tips = all_of("tips").groupBy("machine").agg(F.max("seq").alias("seq"), F.max_by("hash", "seq").alias("hash"))
+    return Projection(location_state(places), facts, passes, tips)
 
 
 def listed(contents: DataFrame, locations: DataFrame) -> DataFrame:

@@ -39,6 +39,11 @@ class Store:
         fs, path = self._path(key)
         return fs.exists(path)
 
+    def names(self, key: str) -> list[str]:
+        """What lies in a folder; nothing if there is none."""
+        fs, path = self._path(key)
+        return [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+
     def _read(self, key: str, schema: str) -> DataFrame:
         if not self.exists(key):
             return self.spark.createDataFrame([], schema)

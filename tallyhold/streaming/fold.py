@@ -34,12 +34,48 @@ def windowed_activity(log: DataFrame, width: str = "5 minutes", late: str = "1 d
     return rows.groupBy(F.window("at", width).alias("window"), "action").agg(F.count("*").alias("events")).select("window.start", "window.end", "action", "events")
 
 
-def keep_folded(log: DataFrame, store: Store, checkpoint: str, name: str = "projection", **trigger) -> StreamingQuery:
-    """Fold each micro-batch into the current projection in the store; a batch that is run again changes nothing."""
+TABLES = ("locations", "facts", "passes", "tips")
 
-    def merge(batch: DataFrame, _number: int) -> None:
-        old = {t: store.current(name, t) for t in ("locations", "facts", "passes", "tips")}
-        before = None if None in old.values() else projection.Projection(**old)
-        store.replace(name, projection.fold(batch, before).tables())
+
+def keep_folded(log: DataFrame, store: Store, checkpoint: str, name: str = "projection", *, compact_after: int = 50, **trigger) -> StreamingQuery:
+    """Fold each micro-batch to a projection of its own in the store, which ``folded`` merges; one that is run again replaces itself.
+
+    A batch costs what its events cost. After each ``compact_after`` batches all that there is becomes one base.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        for table, df in projection.fold(batch).tables().items():
+            df.write.mode("overwrite").parquet(f"{store.uri}/{name}-batches/{number}/{table}")
+        if (number + 1) % compact_after == 0:
+            compact(store, name)
 
     return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def _parts(store: Store, name: str) -> tuple[projection.Projection | None, dict[int, projection.Projection]]:
+    """The base, and the batches that it doesn't have, by number."""
+    upto, base = store.current(name, "upto"), None
+    last = -1 if upto is None else upto.first().number
+    if upto is not None:
+        base = projection.Projection(*(store.current(name, t) for t in TABLES))
+    numbers = sorted(int(x) for x in store.names(f"{name}-batches") if int(x) > last)
+    return base, {n: projection.Projection(*(store.spark.read.parquet(f"{store.uri}/{name}-batches/{n}/{t}") for t in TABLES)) for n in numbers}
+
+
+def folded(store: Store, name: str = "projection") -> projection.Projection | None:
+    """The projection of all batches that ``keep_folded`` has folded; None before the first."""
+    base, batches = _parts(store, name)
+    parts = [p for p in (base, *batches.values()) if p]
+    return projection.merged(parts) if parts else None
+
+
+def compact(store: Store, name: str = "projection") -> None:
+    """Make one base of the base and all batches; the pointer of the base says which batches it has, then these are deleted."""
+    base, batches = _parts(store, name)
+    if not batches:
+        return
+    parts = [p for p in (base, *batches.values()) if p]
+    upto = store.spark.createDataFrame([(max(batches),)], "number long")
+    store.replace(name, projection.merged(parts).tables() | {"upto": upto})
+    for n in batches:
+        store.drop(f"{name}-batches/{n}")

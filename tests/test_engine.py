@@ -249,10 +249,17 @@ def test_streamed_fold_is_the_batch_fold(spark, place):
     (place / "files/y").write_bytes(b"y")
     own.run_pass()
     uri, want = own.store.uri, own.projection()
-    q = fold.keep_folded(fold.log_stream(spark, uri, files_per_batch=1), own.store, f"file://{place}/cp1")
-    assert q.awaitTermination(120)
-    got = projection.Projection(**{t: own.store.current("projection", t) for t in ("locations", "facts", "passes", "tips")})
-    assert projection.state_hash(got).first() == projection.state_hash(want).first()
+    assert fold.folded(own.store) is None
+    q = fold.keep_folded(fold.log_stream(spark, uri, files_per_batch=1), own.store, f"file://{place}/cp1", compact_after=2)
+    assert q.awaitTermination(300)
+    # two batches have become the base, others are by themselves
+    assert own.store.current("projection", "upto").first().number % 2 == 1
+    for _ in range(2):
+        got = fold.folded(own.store)
+        assert projection.state_hash(got).first() == projection.state_hash(want).first()
+        assert sorted(map(tuple, got.tips.collect())) == sorted(map(tuple, want.tips.collect()))
+        fold.compact(own.store)
+    assert own.store.names("projection-batches") == []
     live = fold.live_locations(fold.log_stream(spark, uri))
     q = live.writeStream.outputMode("complete").format("memory").queryName("live").option("checkpointLocation", f"file://{place}/cp2").trigger(availableNow=True).start()
     assert q.awaitTermination(120)
