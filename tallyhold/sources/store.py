@@ -49,17 +49,18 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.uri}/{key}")
 
-    def _pointer(self, name: str) -> str | None:
+    def _versions(self, name: str) -> list[str]:
+        """The current version, and the one before it; none if there is no pointer."""
         if not self.exists(f"{name}/CURRENT"):
-            return None
-        return self.spark.read.text(f"{self.uri}/{name}/CURRENT").first().value
+            return []
+        return self.spark.read.text(f"{self.uri}/{name}/CURRENT", wholetext=True).first().value.split()
 
-    def _commit(self, name: str, version: str) -> None:
-        """Name the version as the current one: written beside, then moved over in one step."""
+    def _commit(self, name: str, versions: list[str]) -> None:
+        """Name the first version as the current one: written beside, then moved over in one step."""
         fs, path = self._path(f"{name}/CURRENT")
         beside = self._path(f"{name}/.CURRENT-{uuid.uuid4().hex}")[1]
         out = fs.create(beside, True)
-        out.write(bytearray(version.encode()))
+        out.write(bytearray("\n".join(versions).encode()))
         out.close()
         context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         rename = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
@@ -68,18 +69,17 @@ class Store:
 
     def replace(self, name: str, tables: dict[str, DataFrame]) -> None:
         """Write all tables as one new version, which readers see whole or not at all; of the older ones the last stays."""
-        version, last = uuid.uuid4().hex, self._pointer(name)
+        version, before = uuid.uuid4().hex, self._versions(name)
         for table, df in tables.items():
             df.write.parquet(f"{self.uri}/{name}/{version}/{table}")
-        self._commit(name, version)
-        fs, path = self._path(name)
-        for old in fs.listStatus(path):
-            if old.isDirectory() and old.getPath().getName() not in (version, last):
-                fs.delete(old.getPath(), True)
+        self._commit(name, [version, *before[:1]])
+        # only what this pointer has named: others may be at work on versions of theirs
+        for old in before[1:]:
+            self.drop(f"{name}/{old}")
 
     def current(self, name: str, table: str) -> DataFrame | None:
-        version = self._pointer(name)
-        return None if version is None else self.spark.read.parquet(f"{self.uri}/{name}/{version}/{table}")
+        versions = self._versions(name)
+        return self.spark.read.parquet(f"{self.uri}/{name}/{versions[0]}/{table}") if versions else None
 
     def drop(self, key: str) -> None:
         """Delete what lies there, if anything does."""

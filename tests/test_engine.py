@@ -221,9 +221,11 @@ def test_store(spark, place):
         store.manifest("0" * 64)
     with pytest.raises(NotFoundError):
         store.delete_manifests(spark.createDataFrame([("q",)], "content string"), missing_ok=False)
-    for n in (1, 2):
+    for n in (1, 2, 3, 4):
         store.replace("t", {"x": spark.range(n)})
         assert store.current("t", "x").count() == n
+    # the current version, the one before it, and the pointer
+    assert len([x for x in store.names("t") if not x.startswith(".")]) == 3
 
 
 def test_snapshot(spark, place):
