@@ -7,12 +7,13 @@ codeword, the logistic losses of the margins against its bits, each weighted by
 does on that language in training, and chooses the least. ``ambiguous`` marks texts whose two least losses are
 closer than ``margin``.
 
-Scale. A bounded sample of labelled rows is learnt from (``per_lang`` of each language, a parameter, in the
+Scale. A bounded sample of labelled rows is learnt from (``per_lang`` of each language and ``most`` in all, parameters, in the
 mean), drawn by a hash of doc_id from the whole table. The model is buckets x bits floats, bound by parameters.
 Prediction is one scan with no shuffle; the margins of a text are sums over its words, so a word's n-grams are
 hashed once for each task.
 
-Edge cases. Null texts and texts without a letter give ``und`` with the score 1 and no ambiguity. Null
+Edge cases. Null texts, empty ones and texts without a letter give ``und`` with the score 1 and no ambiguity. A very long text is
+read whole: its margins are means over all of its n-grams. Null
 languages are not learnt from. With no labelled row every text is ``und`` with the score 0; with one language
 every text with a letter gets it, with the score 1. Repeated rows are predicted each; other columns are never
 read; an empty table gives an empty result. Equal losses go to the language that sorts first.
@@ -113,13 +114,14 @@ def fit(texts: list[str | None], langs: list[str], *, low: int = 1, high: int =
     return LangModel(names, code, trust, weight, bias, low, high, margin)
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1200, seed: int = 5) -> LangModel:
-    """Fit on about ``per_lang`` rows of each non-null language outside the held-out remainder (crc32 mod 4 is 2)."""
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1200, most: int = 60_000, seed: int = 5) -> LangModel:
+    """Fit on about ``per_lang`` rows of each non-null language outside the held-out remainder (crc32 mod 4 is 2), and on about
+    ``most`` in all: where there are many languages, each has fewer."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & (crc_mod(F.col("id"), 4) != 2))
     count = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not count:
         return fit([], [], seed=seed)
-    share = F.lit(0.0)
+    share, per_lang = F.lit(0.0), min(per_lang, most / len(count))
     for lang, n in count.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_lang / n))).otherwise(share)
     chosen = rows.where(hash_share(F.col("id"), seed) < share).collect()

@@ -9,7 +9,8 @@ Scale. One scan, no shuffle, no Python: everything is an expression over the row
 by sorting the hashes of a text's windows; only texts that have any pay for finding their places, by a look-up among
 the repeated hashes where those are few and by sorting (hash, place) pairs where they are many. Both ways count the same.
 
-Edge cases. Null and empty texts have no words, all measures 0, and fail the base. Repeated rows are judged each;
+Edge cases. Null and empty texts have no words, all measures 0, and fail the base. A very long text is judged whole, and so is a
+very long line. Measures that equal a bound pass: they must be below ``least_words``, or above the others, to fail. Repeated rows are judged each;
 other columns are never read; an empty table gives an empty result. A text without a terminal mark anywhere, in
 any line, is judged by the other two rules only: scripts and layouts without them aren't junk.
 """
