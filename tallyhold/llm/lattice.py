@@ -1,6 +1,7 @@
 """Language-model scores by a subword lattice: the marginal probability of a text over all its segmentations.
 
-The pieces are those of an existing vocabulary (a SentencePiece model); nothing is added to it. Its scores are the
+The pieces are those of an existing vocabulary (a SentencePiece model); only where that has no piece for some byte, one is
+added, with the weight that byte pieces begin with. Its scores are the
 first weights; expectation-maximisation over all training words then fits the pieces' probabilities. A word, with its
 mark of a beginning, is a lattice of the pieces that occur in it; the log-space forward recursion sums the
 probabilities of all paths. A text's probability is the product over its words, and of the end piece. A character that
@@ -11,9 +12,10 @@ distinct word, not for each token. Each E-step sends one number a piece and task
 at least ``t`` are broadcast, where t is the least power of two for which these are at most ``hot_words`` (a parameter,
 so the size is bound); the others, none of which is frequent, are joined by a shuffle of (text, word, count).
 
-Edge cases. Null and empty texts are the end alone. Without training texts the first weights stay and the base counts
+Edge cases. Null and empty texts are the end alone; a very long text is scored whole, word by word. Without training texts the first weights stay and the base counts
 are 0. Repeated rows are scored and learnt from each; other columns are never read; an empty table gives an empty
-result. A word of any length is one lattice.
+result. A word of any length is one lattice. Words as frequent as each other are all broadcast or none. ``docs`` must be a
+table as read, so that its rows have the same numbers each time.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ MARK = "▁"
 LN10 = math.log(10)
 #: Up to so many characters a word's expected counts are first tried by plain products of probabilities.
 LONG = 60
+#: The first weight of a piece that spells one byte.
+BYTE = 1e-4
 #: A word below this probability is counted in log space: what a product above it loses to underflow is less than 1e-50 of it.
 LEAST = 1e-250
 
@@ -77,10 +81,16 @@ class Lattice:
         found = [(e + 1 - n, e + 1, (i,)) for e, (n, i) in self.trie.iter(marked)]
         lacking = [k for k, c in enumerate(marked) if c not in self.single]
         if lacking:
-            found += [(k, k + 1, tuple(self.bytes[b] for b in marked[k].encode())) for k in lacking]
+            found += [(k, k + 1, self._spelt(marked[k])) for k in lacking]
             found.sort(key=lambda x: x[1])
         return found
 
+    def _spelt(self, char: str) -> tuple[int, ...]:
+        ids = tuple(self.bytes[b] for b in char.encode())
+        if -1 in ids:
+            raise ValueError(f"no pieces for {char!r}, nor for its bytes")
+        return ids
+
     def log_marginal(self, word: str) -> float:
         """Natural log of the sum over all segmentations of the product of their pieces' probabilities."""
         value, single, marked = self.value, self.single, MARK + word
@@ -147,7 +157,10 @@ def first_lattice(path: str | None = None) -> Lattice:
         piece = own.id_to_piece(i)
         # a mark inside a piece would join words, which a lattice of one word never holds
         pieces.append(piece if usable and MARK not in piece[1:] else "")
-        weight.append(0.0 if not pieces[-1] else 1e-4 if own.is_byte(i) else 1.0 / (10.0 - own.get_score(i)) if own.get_score(i) > -1e8 else 1e-6)
+        weight.append(0.0 if not pieces[-1] else BYTE if own.is_byte(i) else 1.0 / (10.0 - own.get_score(i)) if own.get_score(i) > -1e8 else 1e-6)
+    lacking = [x for x in (f"<0x{b:02X}>" for b in range(256)) if x not in pieces]
+    pieces += lacking
+    weight += [BYTE] * len(lacking)
     w = np.array(weight)
     w /= w.sum() * (1 + 1e-3)
     with np.errstate(divide="ignore"):
