@@ -106,10 +106,10 @@ def _seeds(index: DataFrame, leads: DataFrame) -> DataFrame:
     return _lists(index).join(leads, "term").select("uid", "words", F.explode(F.slice("places", F.col("first") + 1, F.col("n"))).alias("pos"), *own)
 
 
-def search(index: DataFrame, wins: DataFrame) -> DataFrame:
-    """Occurrences of windows: uid, start, length, window; staged."""
+def search(index: DataFrame, wins: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Occurrences of windows: uid, start, length, window; staged. ``counts`` are the frequencies of their terms, if known."""
     terms = wins.select("window", F.posexplode("terms").alias("off", "term"))
-    ranked = terms.join(frequencies(index, terms), "term").groupBy("window").agg(F.sort_array(F.collect_list(F.struct("n", "off", "term"))).alias("ranks"))
+    ranked = terms.join(frequencies(index, terms) if counts is None else counts, "term").groupBy("window").agg(F.sort_array(F.collect_list(F.struct("n", "off", "term"))).alias("ranks"))
     ranked = ranked.where(F.col("ranks")[0]["n"] > 0).join(wins, "window")
     leads = ranked.select(F.col("ranks")[0]["term"].alias("term"), "window", F.col("ranks")[0]["off"].alias("by"), F.get("ranks", F.lit(1))["off"].alias("off2"), F.get("ranks", F.lit(1))["term"].alias("term2"), "terms")
     leads = staged(leads, "leads")
@@ -125,12 +125,12 @@ def search(index: DataFrame, wins: DataFrame) -> DataFrame:
     return staged(_union(parts) if parts else none, "matches")
 
 
-def near(index: DataFrame, items: DataFrame, *, span: int = 20, rarest: int = 3, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def near(index: DataFrame, items: DataFrame, counts: DataFrame | None = None, *, span: int = 20, rarest: int = 3, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Proximity matches: uid, item_id, pos of its rarest term where its ``rarest`` rarest terms lie within ``span`` words of it,
     or as far as in the item if that is more, in any order. A term without postings is the rarest and isn't met."""
     terms = items.select(F.col(id_col).cast("string").alias("item_id"), F.posexplode(words(F.col(text_col).cast("string"))).alias("off", "term"))
     terms = staged(terms.groupBy("item_id", "term").agg(F.min("off").alias("off")), "item-terms")
-    ranked = terms.join(frequencies(index, terms), "term").groupBy("item_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "term", "off"))), 1, rarest).alias("ranks"))
+    ranked = terms.join(frequencies(index, terms) if counts is None else counts, "term").groupBy("item_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "term", "off"))), 1, rarest).alias("ranks"))
     lead = F.col("ranks")[0]
     reach = F.greatest(F.lit(span), F.array_max(F.transform("ranks", lambda r: F.abs(r["off"] - F.col("ranks")[0]["off"]))))
     leads = ranked.where(lead["n"] > 0).select(lead["term"].alias("term"), "item_id", reach.alias("reach"), *(F.get("ranks", F.lit(k))["term"].alias(f"term{k}") for k in range(1, rarest)))
@@ -150,8 +150,10 @@ def hits(docs: DataFrame, items: DataFrame, *, size: int = 10, span: int = 20, r
     """Of every row: uid, doc_id, n_words, n_hit, item_ids (strings, sorted), contaminated; and near_ids, the items that are
     met in proximity (strings, sorted)."""
     wins, index = windows(items, size), build_index(docs, id_col=id_col, text_col=text_col)
-    close = near(index, items, span=span, rarest=rarest)
-    found = search(index, wins)
+    # every word of an item is in a window of it
+    counts = frequencies(index, wins.select(F.explode("terms").alias("term")))
+    close = near(index, items, counts, span=span, rarest=rarest)
+    found = search(index, wins, counts)
     order = W.partitionBy("uid").orderBy("start", "length").rowsBetween(W.unboundedPreceding, -1)
     end = F.col("start") + F.col("length")
     spans = found.select("uid", "start", "length").distinct().withColumn("before", F.max(end).over(order))

@@ -56,13 +56,15 @@ spot AS (SELECT doc_id, words, n, unnest(range(0, len(words) - n + 1)) AS i FROM
 hit AS (SELECT a.doc_id, a.i, a.n, w.item_id FROM (SELECT doc_id, i, n, array_to_string(words[i + 1 : i + n], ' ') AS win FROM spot) a JOIN wins w ON a.win = w.win AND a.n = w.n),
 cover AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM (SELECT DISTINCT doc_id, i, n FROM hit)) GROUP BY doc_id),
 named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id),
-toks AS (SELECT doc_id, unnest(words) AS term, generate_subscripts(words, 1) AS pos FROM docs),
+toks AS MATERIALIZED (SELECT doc_id, unnest(words) AS term, generate_subscripts(words, 1) AS pos FROM docs),
 own AS (SELECT item_id, term, min(pos) AS pos FROM (SELECT item_id, unnest(words) AS term, generate_subscripts(words, 1) AS pos FROM items) GROUP BY item_id, term),
-ranked AS (SELECT item_id, o.term, o.pos, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(n, 0), o.term) AS r FROM own o LEFT JOIN (SELECT term, count(*) AS n FROM toks GROUP BY term) f ON o.term = f.term),
+ranked AS MATERIALIZED (SELECT item_id, o.term, o.pos, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(n, 0), o.term) AS r FROM own o LEFT JOIN (SELECT term, count(*) AS n FROM toks GROUP BY term) f ON o.term = f.term),
 lead AS (SELECT * FROM ranked WHERE r = 1),
 reach AS (SELECT l.item_id, l.term, greatest(20, max(abs(t.pos - l.pos))) AS reach, count(*) AS want FROM lead l JOIN ranked t ON l.item_id = t.item_id WHERE t.r <= 3 GROUP BY l.item_id, l.term),
-met AS (SELECT a.doc_id, l.item_id, a.pos, any_value(l.want) AS want, count(DISTINCT t.r) AS n FROM reach l JOIN toks a ON a.term = l.term JOIN ranked t ON t.item_id = l.item_id AND t.r <= 3
-  JOIN toks b ON b.doc_id = a.doc_id AND b.term = t.term AND abs(b.pos - a.pos) <= l.reach GROUP BY a.doc_id, l.item_id, a.pos),
+lead_at AS MATERIALIZED (SELECT l.item_id, l.reach, l.want, a.doc_id, a.pos FROM reach l JOIN toks a ON a.term = l.term),
+top_at AS MATERIALIZED (SELECT t.item_id, t.r, b.doc_id, b.pos FROM ranked t JOIN toks b ON b.term = t.term WHERE t.r <= 3),
+met AS (SELECT l.doc_id, l.item_id, l.pos, any_value(l.want) AS want, count(DISTINCT t.r) AS n FROM lead_at l JOIN top_at t ON t.item_id = l.item_id AND t.doc_id = l.doc_id
+  WHERE abs(t.pos - l.pos) <= l.reach GROUP BY l.doc_id, l.item_id, l.pos),
 near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM met WHERE n = want GROUP BY doc_id)
 SELECT d.doc_id, len(d.words) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(m.n_items, 0) AS n_items, sha256(coalesce(m.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated, coalesce(p.n_near, 0) AS n_near
 FROM docs d LEFT JOIN cover c ON d.doc_id = c.doc_id LEFT JOIN named m ON d.doc_id = m.doc_id LEFT JOIN near p ON d.doc_id = p.doc_id"""
