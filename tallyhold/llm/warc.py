@@ -3,19 +3,23 @@
 An archive begins with a skippable frame that holds a dictionary; then each WARC/1.1 record is a Zstandard frame of
 its own, compressed with that dictionary. The reader loads the dictionary from the leading skippable frame (which
 may itself be compressed), decodes one frame for each record, and checks version line, headers, Content-Length, the
-closing blank lines and, for responses, the payload's digest. A damaged archive raises ``ArchiveError``.
+closing blank lines and, where there is one, the payload's SHA-1 digest. A damaged archive raises ``ArchiveError``. It reads
+others' archives as well as its own: records of any type, with any id, with or without a digest.
 
 Of the pages whose payloads are equal and of at least ``least_bytes`` bytes, that with the smallest page_id is
 written as a response; the others are revisits of it, without a payload.
 
-Scale. Equal payloads are found by their digest: the smallest page is first taken for each digest and salt, then
-for each digest, and goes back to at most ``SALTS`` rows a digest, so that a payload that a third of all pages have
-is spread over that many keys. Pages are shuffled once with their payload; each task writes one archive, under a
-name of its attempt that is moved to its final place at the end. Reading streams; memory holds one record.
+Scale. Equal payloads are found by their digests, in rows without payloads: the smallest page is first taken for each digest
+and salt, then for each digest, and goes back to the salts that have it. There are so many salts that a digest that all
+pages have is spread over rows of about ``ROWS_A_SALT``. What comes out is the revisits alone; they meet the pages by a
+broadcast up to ``BROADCAST_BYTES``, as measured, and then no payload is shuffled at all, else by a shuffle. A revisit's payload
+goes no further than that. Each task writes one archive, under a name of its attempt that is moved to its final place at
+the end. Reading streams; memory holds one record.
 
-Edge cases. A null html is an empty payload. A null url leaves out the target header; control characters and spaces
+Edge cases. A null html is an empty payload, and a very long one a record of its own length, whole. A null url leaves out the target header; control characters and spaces
 in urls are percent-encoded. Rows that repeat a page_id are records each, the first of equal ones the response.
-A null page_id sorts last. An empty table writes nothing. Other columns are never read.
+A null page_id sorts last. An empty table writes nothing. Other columns are never read, whatever their names. ``pages`` must be a
+table as read, so that its rows have the same numbers each time.
 """
 
 from __future__ import annotations
@@ -38,7 +42,8 @@ from tallyhold.llm.common import fresh_path, small_batches, staged, tidy
 #: Fixed values of the formats: skippable-frame magic of the dictionary, magic of a frame, profile of revisits.
 SKIPPABLE, FRAME = b"\x5d\x2a\x4d\x18", b"\x28\xb5\x2f\xfd"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-SALTS = 64
+#: Rows of one payload that meet at one key, and bytes of revisits' rows that are broadcast.
+ROWS_A_SALT, BROADCAST_BYTES = 1_000_000, 32_000_000
 END = b"\r\n\r\n"
 
 
@@ -51,14 +56,14 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refers_to: int | None, date: str) -> bytes:
-    """A WARC record: header block, blank line, HTTP header and payload (none for revisits), two line ends."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block = http + (payload if kind == "response" else b"")
+def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None, date: str) -> bytes:
+    """A WARC record: header block, blank line, HTTP header and payload, two line ends; a revisit where there is no payload."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
+    block, kind = http + (payload or b""), "revisit" if payload is None else "response"
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
-    head.append(f"WARC-Payload-Digest: sha1:{digest32(payload)}")
+    head.append(f"WARC-Payload-Digest: sha1:{digest}")
     if kind == "revisit":
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -66,7 +71,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refe
 
 
 def parse(raw: bytes, n: int) -> tuple[dict[str, str], bytes, bytes]:
-    """Headers (names in lower case), HTTP header and payload of a decoded record; raises where it breaks the format."""
+    """Headers (names in lower case), HTTP header (empty where the block isn't HTTP) and payload of a decoded record; raises
+    where it breaks the format."""
     head, gap, rest = raw.partition(END)
     lines = head.decode("utf-8", "replace").split("\r\n")
     if not gap or lines[0] not in ("WARC/1.0", "WARC/1.1"):
@@ -82,8 +88,10 @@ def parse(raw: bytes, n: int) -> tuple[dict[str, str], bytes, bytes]:
             raise ArchiveError(f"record {n}: no {name}")
     if not fields["content-length"].isdigit() or len(rest) != int(fields["content-length"]) + len(END) or not rest.endswith(END):
         raise ArchiveError(f"record {n}: its block is not of Content-Length bytes")
-    http, _, payload = rest[: -len(END)].partition(END)
-    if fields["warc-type"] == "response" and fields.get("warc-payload-digest", "").removeprefix("sha1:") != digest32(payload):
+    block = rest[: -len(END)]
+    http, _, payload = block.partition(END) if fields.get("content-type", "").startswith("application/http") else (b"", b"", block)
+    algorithm, _, value = fields.get("warc-payload-digest", "").partition(":")
+    if fields["warc-type"] != "revisit" and algorithm.lower() == "sha1" and value != digest32(payload):
         raise ArchiveError(f"record {n}: its payload has another digest")
     return fields, http, payload
 
@@ -127,15 +135,20 @@ def frames(stream: BinaryIO, chunk: int = 1 << 20) -> Iterator[bytes]:
 
 
 def plan_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """page_id, url, html (binary) of every row, whether it is the first of its payload, and the first one's page_id."""
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("html"))
-    rows = rows.withColumn("uid", F.monotonically_increasing_id())
-    rows = rows.withColumns({"digest": F.when(F.length("html") >= least_bytes, F.sha1("html")).otherwise(F.concat(F.lit("own "), F.col("uid"))), "salt": F.pmod(F.xxhash64("uid"), F.lit(SALTS))})
+    """page_id, url, html (binary, null for revisits), size, digest (SHA-1, hex) and first_id (the response's page_id, of revisits) of every row;
+    is_first tells responses."""
+    rows = pages.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("html"))
+    rows = rows.withColumns({"size": F.length("html").cast("long"), "digest": F.sha1("html")})
+    salts = -(-pages.count() // ROWS_A_SALT)
+    narrow = staged(rows.where(F.col("size") >= least_bytes).select("uid", "page_id", "digest", F.pmod(F.xxhash64("uid"), F.lit(max(1, salts))).alias("salt")), "payloads")
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "uid")
-    by_salt = rows.groupBy("digest", "salt").agg(F.min(order).alias("low"))
-    lowest = by_salt.groupBy("digest").agg(F.min("low").alias("first"))
-    firsts = by_salt.select("digest", "salt").join(lowest, "digest")
-    return rows.join(firsts, ["digest", "salt"]).select("page_id", "url", "html", (F.col("first.uid") == F.col("uid")).alias("is_first"), F.col("first.page_id").alias("first_id"))
+    by_salt = narrow.groupBy("digest", "salt").agg(F.min(order).alias("low"), F.count("*").alias("n"))
+    lowest = by_salt.groupBy("digest").agg(F.min("low").alias("first"), F.sum("n").alias("n")).where("n > 1")
+    firsts = by_salt.select("digest", "salt").join(lowest, "digest").select("digest", "salt", "first")
+    again = narrow.join(firsts, ["digest", "salt"]).where(F.col("first.uid") != F.col("uid")).select("uid", F.col("first.page_id").alias("first_id"), F.lit(True).alias("again"))
+    again = staged(again, "revisits")
+    rows = rows.join(F.broadcast(again) if again.count() * 32 <= BROADCAST_BYTES else again, "uid", "left")
+    return rows.select("page_id", "url", F.when(F.col("again").isNull(), F.col("html")).alias("html"), "size", "digest", F.col("again").isNull().alias("is_first"), "first_id")
 
 
 def write(pages: DataFrame, path: str | None = None, *, date: str = "2024-01-01T00:00:00Z", level: int = 3, **columns) -> DataFrame:
@@ -150,8 +163,8 @@ def write(pages: DataFrame, path: str | None = None, *, date: str = "2024-01-01T
         own = f"{name}.{task.taskAttemptId()}"
         for b in small_batches(batches, 200):
             out = []
-            for page_id, url, html, is_first, first_id in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                out.append(record(page_id, url, html, "response" if is_first else "revisit", None if is_first else first_id, date))
+            for page_id, url, html, size, digest, first_id in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                out.append(record(page_id, url, html, size, base64.b32encode(bytes.fromhex(digest)).decode(), first_id, date))
             if file is None:
                 file = store.open_output_stream(own, compression=None)
                 content = dictionary(out)
@@ -169,30 +182,35 @@ def write(pages: DataFrame, path: str | None = None, *, date: str = "2024-01-01T
 
     store, root = fs.FileSystem.from_uri(path)
     store.create_dir(root, recursive=True)
-    return staged(plan_records(pages, **columns).mapInArrow(run, "file string, n_records long"), "warc-files")
+    return staged(plan_records(pages, **columns).drop("is_first").mapInArrow(run, "file string, n_records long"), "warc-files")
 
 
 def read(spark: SparkSession, files: DataFrame) -> DataFrame:
     """A row for each record of the archives that ``files`` names in its column ``file``.
 
-    file, record (its number there), record_type, page_id, url, date, payload_digest, payload_bytes, refers_to,
-    payload (null for revisits). payload_bytes of a revisit comes from the HTTP header it keeps.
+    file, record (its number there), record_type, record_id, page_id (null for ids of another form), url, date, payload_digest
+    (null without one), payload_bytes, refers_to (a page_id), refers_to_id, payload (null for revisits). payload_bytes of a
+    revisit comes from the HTTP header it keeps, and is null where that doesn't say.
     """
     number = re.compile(r"<urn:page:(-?\d+)>")
-    names = ["file", "record", "record_type", "page_id", "url", "date", "payload_digest", "payload_bytes", "refers_to", "payload"]
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["file", "record", "record_type", "record_id", "page_id", "url", "date", "payload_digest", "payload_bytes", "refers_to", "refers_to_id", "payload"]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
     def rows_of(uri: str) -> Iterator[tuple]:
         store, at = fs.FileSystem.from_uri(uri)
         with store.open_input_stream(at, compression=None) as stream:
             for n, raw in enumerate(frames(stream)):
                 fields, http, payload = parse(raw, n)
-                kind = fields["warc-type"]
-                length = re.search(rb"(?im)^Content-Length:\s*(\d+)", http)
-                if kind == "revisit" and (length is None or payload):
-                    raise ArchiveError(f"record {n}: a revisit without the length of its payload, or with a payload")
-                page, refers = (number.match(fields.get(k, "")) for k in ("warc-record-id", "warc-refers-to"))
-                yield (uri, n, kind, int(page[1]) if page else None, fields.get("warc-target-uri"), fields["warc-date"], fields["warc-payload-digest"].removeprefix("sha1:"), int(length[1]) if kind == "revisit" else len(payload), int(refers[1]) if refers else None, payload if kind == "response" else None)
+                kind, digest = fields["warc-type"], fields.get("warc-payload-digest")
+                size = len(payload)
+                if kind == "revisit":
+                    if payload:
+                        raise ArchiveError(f"record {n}: a revisit with a payload")
+                    length = re.search(rb"(?im)^Content-Length:\s*(\d+)", http)
+                    size, payload = int(length[1]) if length else None, None
+                own, other = fields["warc-record-id"], fields.get("warc-refers-to")
+                page, refers = number.match(own), number.match(other or "")
+                yield (uri, n, kind, own, int(page[1]) if page else None, fields.get("warc-target-uri"), fields["warc-date"], digest and digest.rpartition(":")[2], size, int(refers[1]) if refers else None, other, payload)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +226,7 @@ def read(spark: SparkSession, files: DataFrame) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds, strict=True)], names=names)
 
-    schema = "file string, record long, record_type string, page_id long, url string, date string, payload_digest string, payload_bytes long, refers_to long, payload binary"
+    schema = "file string, record long, record_type string, record_id string, page_id long, url string, date string, payload_digest string, payload_bytes long, refers_to long, refers_to_id string, payload binary"
     tasks = max(1, files.count())
     return files.select("file").repartition(tasks, "file").mapInArrow(run, schema)
 
