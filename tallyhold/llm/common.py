@@ -56,11 +56,12 @@ def dropped(*tables: DataFrame) -> None:
         at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def prepared(spark: SparkSession, rows: int = 1000) -> SparkSession:
-    """The session, with Arrow batches of at most so many rows: whole texts make the usual ones very large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+def prepared(spark: SparkSession, rows: int = 1000, size: int = 4_000_000) -> SparkSession:
+    """The session, with Arrow batches of at most so many rows and about so many bytes: whole texts make the usual ones very large."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(re.sub(r"[bB]$", "", spark.conf.get(key))) <= most:
+            spark.conf.set(key, most)
     return spark
 
 
