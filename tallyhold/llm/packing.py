@@ -7,9 +7,10 @@ sum-of-squares algorithm for bin packing", 2006). A level array holds the counts
 the windows still open are closed by cutting the pieces of the emptiest into the gaps of the fullest, so that
 one window at most for each task is left with padding.
 
-Scale. No shuffle: every task packs its own rows, holds the open windows only (bound by the window size and the
-level array, not by the input) and emits a window when it is full. A sequence id is the task's number and a
-counter, so a task that runs again gives the same ids.
+Scale. No shuffle: every task packs its own rows, holds the open windows only and emits a window when it is full.
+Where documents don't fit together (each a little longer than half a window, say) windows would stay open without end:
+beyond ``most_open`` of them the same cutting closes the fullest until half as many are left, so a task holds that many
+windows at most, whatever its input. A sequence id is the task's number and a counter, so a task that runs again gives the same ids.
 
 Edge cases. A null or empty text is the end id alone. Repeated rows are packed each, under the same doc_id. Very
 long texts fill windows of their own. Other columns are never read. An empty table gives no piece. Equal sums
@@ -18,7 +19,7 @@ go to the fullest level.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhold.llm.common import small_batches, tidy
-from tallyhold.llm.tokens import DEFAULT, pieces
+from tallyhold.llm.tokens import DEFAULT, ROOM, pieces
 
 #: doc_id, start, ids, doc_tokens
 Piece = tuple[int, int, bytes, int]
@@ -37,10 +38,10 @@ WIDTH = 4
 
 
 class Packer:
-    """Places pieces into windows of ``size`` tokens; ``full`` collects closed windows."""
+    """Places pieces into windows of ``size`` tokens; ``full`` collects closed windows, ``most_open`` bounds the others."""
 
-    def __init__(self, size: int):
-        self.size = size
+    def __init__(self, size: int, most_open: int = 4096):
+        self.size, self.most_open, self.n_open = size, most_open, 0
         self.count = np.zeros(size + 1, np.int64)
         self.open: defaultdict[int, list[list[Piece]]] = defaultdict(list)
         self.full: list[list[Piece]] = []
@@ -70,20 +71,28 @@ class Packer:
         at = self.level(length)
         window = self.open[at].pop() if at else []
         self.count[at] -= at > 0
+        self.n_open -= at > 0
         window.append(piece)
         if at + length == self.size:
             self.full.append(window)
         else:
-            self.open[at + length].append(window)
-            self.count[at + length] += 1
-
-    def close(self) -> None:
-        """Cut the pieces of the emptiest windows into the gaps of the fullest; one window at most stays partial."""
-        left = [(fill, w) for fill in sorted(self.open, reverse=True) for w in self.open[fill]]
+            self._reopen(at + length, window)
+            if self.n_open > self.most_open:
+                self.close(self.most_open // 2)
+
+    def _reopen(self, fill: int, window: list[Piece]) -> None:
+        self.open[fill].append(window)
+        self.count[fill] += 1
+        self.n_open += 1
+
+    def close(self, leave: int = 0) -> None:
+        """Cut the pieces of the emptiest windows into the gaps of the fullest, until ``leave`` windows are open; with none
+        left open, one window at most stays partial."""
+        left = deque((fill, w) for fill in sorted(self.open, reverse=True) for w in self.open[fill])
         self.open.clear()
-        self.count[:] = 0
-        while left:
-            fill, window = left.pop(0)
+        self.count[:] = self.n_open = 0
+        while len(left) > leave:
+            fill, window = left.popleft()
             while fill < self.size and left:
                 other_fill, other = left.pop()
                 doc_id, start, ids, total = other.pop()
@@ -96,19 +105,21 @@ class Packer:
                 if other:
                     left.append((other_fill - take, other))
             self.full.append(window)
+        for fill, window in left:
+            self._reopen(fill, window)
 
 
-def pack(docs: DataFrame, *, size: int = 2048, end_id: int = 1, tokenizer: str | None = None, keep: int = 1_600_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, *, size: int = 2048, end_id: int = 1, tokenizer: str | None = None, room: int = ROOM, keep: int = ROOM, most_open: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
-    ``tokenizer`` is the path of a ``tokenizers`` file, the public byte-level BPE by default. ``keep`` is the number of
-    encoded parts that a worker keeps from task to task, at about 200 bytes each: fewer cost time, more cost memory.
+    ``tokenizer`` is the path of a ``tokenizers`` file, the public byte-level BPE by default. A worker keeps about ``room``
+    bytes of encoded parts at most, and ``keep`` bytes of them from task to task: fewer cost time, more cost memory.
     """
     path = tokenizer or public_tokenizers.path(DEFAULT)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, packer = pieces(path, WIDTH), Packer(size)
+        cache, packer = pieces(path, WIDTH, room), Packer(size, most_open)
         end, base, n = cache.pack([end_id]), TaskContext.get().partitionId() << 32, 0
 
         def closed() -> Iterator[pa.RecordBatch]:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhold.llm.common import fresh_path, small_batches, staged, tidy
-from tallyhold.llm.tokens import DEFAULT_RANKS, pieces
+from tallyhold.llm.tokens import DEFAULT_RANKS, ROOM, pieces
 
 
 @dataclass(frozen=True)
@@ -71,7 +71,7 @@ class Feistel:
 
 def sequences(batches: Iterator[pa.RecordBatch], path: str, width: int, size: int, end_id: int, pad_id: int, keep: int) -> Iterator[tuple[bytes, int, list]]:
     """Of one partition's (doc_id, text) rows: ids of each sequence, its number of real tokens, its doc_ids."""
-    cache = pieces(path, width)
+    cache = pieces(path, width, max(keep, ROOM // 4))
     end, stride, held, docs = cache.pack([end_id]), size * width, bytearray(), []
     for b in small_batches(batches, 1024):
         for doc_id, ids in zip(b.column(0).to_pylist(), cache.encode(b.column(1).to_pylist()), strict=True):
@@ -88,11 +88,11 @@ def sequences(batches: Iterator[pa.RecordBatch], path: str, width: int, size: in
         yield bytes(held) + cache.pack([pad_id]) * (size - len(held) // width), len(held) // width, docs
 
 
-def materialise(docs: DataFrame, path: str | None = None, *, size: int = 2048, per_shard: int = 4096, key: bytes = b"training order", end_id: int = 1, pad_id: int = 0, width: int = 2, tokenizer: str | None = None, group: int = 64, keep: int = 1_600_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def materialise(docs: DataFrame, path: str | None = None, *, size: int = 2048, per_shard: int = 4096, key: bytes = b"training order", end_id: int = 1, pad_id: int = 0, width: int = 2, tokenizer: str | None = None, group: int = 64, keep: int = ROOM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards under ``path`` and return a row for each sequence.
 
     slot, shard, byte_offset, n_tokens (without padding), ids_crc32 (of the record), doc_ids (in order), file.
-    ``keep`` is the number of encoded parts of text that a worker keeps from task to task.
+    A worker keeps about ``keep`` bytes of encoded parts of text from task to task.
     """
     spark, tok = docs.sparkSession, tokenizer or public_tokenizers.path(DEFAULT_RANKS)
     path = path or fresh_path(spark, "shards")

@@ -10,7 +10,7 @@ library whole; those with empty lines are cut at spaces only.
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from functools import lru_cache
 from itertools import islice
 
@@ -38,12 +38,14 @@ def encoder(path: str) -> tuple[Callable[[list[str]], list[list[int]]], list[byt
 
 #: Before the line end that a part begins with.
 LINE = "\x01"
+#: Bytes of a worker's cache, and those that each entry takes beside its characters and ids.
+ROOM, EACH = 320_000_000, 180
 
 
 class PieceCache:
-    """Encodes texts to little-endian unsigned ids of ``width`` bytes."""
+    """Encodes texts to little-endian unsigned ids of ``width`` bytes; what it keeps of parts takes about ``room`` bytes at most."""
 
-    def __init__(self, path: str, width: int = 4, cap: int = 1_600_000):
+    def __init__(self, path: str, width: int = 4, room: int = ROOM):
         self.ids_of, strings = encoder(path)
         self.opens = np.array([x.startswith(b" ") for x in strings])
         if len(strings) > 256**width:
@@ -52,16 +54,24 @@ class PieceCache:
         #: None: a part whose edge isn't a cut
         self.known: dict[str, bytes | None] = {}
         self.heads: dict[str, bytes] = {}
-        self.cap = cap
+        self.room, self.size, self.head_size = room, 0, 0
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
-    def rest(self, keep: int = 300_000) -> None:
-        """Keep the first, frequent parts only: what the next task begins with, and all that a worker holds between tasks."""
-        if len(self.known) > keep:
-            self.known = dict(islice(self.known.items(), keep))
+    def rest(self, keep: int) -> None:
+        """Keep about so many bytes of the first, frequent parts: what the next task begins with, and all that a worker holds
+        between tasks."""
+        if self.size > keep:
+            self.known = dict(islice(self.known.items(), len(self.known) * keep // self.size))
+            self.size = keep
         self.heads.clear()
+        self.head_size = 0
+
+    @staticmethod
+    def _bytes(parts: Collection[str]) -> int:
+        """What the parts take as keys, with their ids and the table's own share."""
+        return sum(map(len, parts)) * 3 + len(parts) * EACH
 
     def _learn(self, parts: list[str], run: int = 1000) -> None:
         """Encode parts without white space; only a part's first id begins with a space, so one call takes many."""
@@ -81,11 +91,13 @@ class PieceCache:
         return (text if "\n\n" in text else text.replace("\n", f" {LINE}\n")).split(" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > self.cap:
+        if self.size > self.room:
             # the parts that came first are the frequent ones
-            self.known = dict(islice(self.known.items(), self.cap // 2))
-        if len(self.heads) > self.cap // 10:
+            self.known = dict(islice(self.known.items(), len(self.known) // 2))
+            self.size //= 2
+        if self.head_size > self.room // 10:
             self.heads.clear()
+            self.head_size = 0
         cut = [self._cut(t or "") for t in texts]
         get, ids, lacking, new = self.known.get, [], [], set()
         for parts in cut:
@@ -95,6 +107,7 @@ class PieceCache:
             ids.append(rest)
             lacking.append(lack)
         new.difference_update(self.known)
+        self.size += self._bytes(new)
         opening = [p for p in new if p[:1] == LINE]
         whole = [p for p in new.difference(opening) if p and not p[0].isspace() and not p[-1].isspace()]
         self.known.update(dict.fromkeys(new))
@@ -105,6 +118,7 @@ class PieceCache:
         self.known.update(zip(odd, map(self.pack, self.ids_of([f" {p}" for p in odd])), strict=True))
         heads = list({parts[0] for parts in cut}.difference(self.heads))
         self.heads.update(zip(heads, map(self.pack, self.ids_of(heads)), strict=True))
+        self.head_size += self._bytes(heads)
         out = []
         for text, parts, rest, lack in zip(texts, cut, ids, lacking, strict=True):
             for i in lack:
@@ -117,7 +131,7 @@ class PieceCache:
         return out
 
 
-@lru_cache(maxsize=2)
-def pieces(path: str, width: int = 4) -> PieceCache:
+@lru_cache(maxsize=1)
+def pieces(path: str, width: int = 4, room: int = ROOM) -> PieceCache:
     """The cache of this worker process: it lives on from task to task."""
-    return PieceCache(path, width)
+    return PieceCache(path, width, room)
