@@ -7,15 +7,19 @@ weight two or more repeat whole. The others are compared in suffix arrays (``suf
 anchors at a time. The result are the starts of repeated windows, and so the spans of bytes to remove, of each text.
 
 Scale. Anchors are one in about 70 bytes; they are shuffled packed, to count them, then only segments of repeated anchors
-are shuffled, packed, equal ones of a task once. A bucket's anchors, and its segments, are cut to a set size by the
+are shuffled, packed. What a run of texts in one task already shows to repeat, an anchor or a whole segment, is settled there:
+its places stay with their texts, and one entry with a number goes on, so an anchor or a passage that a third of all texts have
+sends an entry for each such run, not for each text. A bucket's anchors, and its segments, are cut to a set size by the
 number of buckets. An anchor that occurs more than ``hot`` times (the edge of a passage that a large part of all texts share,
-each with other text around it) doesn't bring its segments together: its windows meet one by one, by their own hashes, and
-equal ones are counted. Texts meet their repeated anchors, and later their spans, by a join: a broadcast of these packed rows up
-to ``BROADCAST_BYTES``, as measured, and a shuffle of the texts beyond.
+each with other text around it) doesn't bring its segments together: its windows meet one by one, by 128 bits of their own hashes, and
+equal ones are counted; there are ``MOST_HOT`` such anchors at most, the most frequent ones. Texts meet their repeated anchors, and
+later their spans, by a join: a broadcast of these packed rows up to ``BROADCAST_BYTES``, as measured, and a shuffle of the texts beyond.
 
 Edge cases. Null texts are empty; texts shorter than ``size`` have no window and stay whole. A repeated row repeats all
 of its windows, so all of both rows goes if they are long enough. Matches never cross texts. Long runs of one byte or
-period are one segment and repeat within themselves. Other columns are never read. An empty table gives an empty result.
+period are one segment and repeat within themselves. Very long texts are read whole, and have as many segments as they need.
+Of equal strings none is spared, first or last. Other columns are never read. An empty table gives an empty result. ``docs``
+must be a table as read, so that its rows have the same numbers each time.
 """
 
 from __future__ import annotations
@@ -32,10 +36,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhold.llm.common import give_back, numbered, small_batches, staged, tidy
+from tallyhold.llm.common import dropped, give_back, numbered, small_batches, staged, tidy
 from tallyhold.llm.suffixes import repeated_starts
 
 BROADCAST_BYTES = 32_000_000
+#: Anchors whose windows meet one by one, at most; and bytes of text for each anchor, about.
+MOST_HOT, SPACING = 500_000, 70
 
 
 def _hashes(text: np.ndarray, k: int) -> np.ndarray:
@@ -82,7 +88,11 @@ def anchors(text: bytes, size: int, gram: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _packed(rows: DataFrame, size: int, gram: int, buckets: int) -> DataFrame:
-    """(bucket, keys, blob of uids, first windows and whether the anchor occurs again in its run) of all anchors."""
+    """(bucket, keys, blob, uid): anchors to be counted, and, where keys is null, what a task knows of a text already.
+
+    Of a run of texts: keys are those anchors that occur once in it, with their uid and first window, then those that occur
+    several times, with their number. The latter's first windows go to rows of their uids.
+    """
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,16 +101,27 @@ def _packed(rows: DataFrame, size: int, gram: int, buckets: int) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             key = np.concatenate([h[1] for h in held])
             uid = np.repeat(np.array([h[0] for h in held], np.int64), [len(h[1]) for h in held])
-            first, again = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
-            bucket = (key >> np.uint64(32)) % np.uint64(buckets)
+            first, again = np.concatenate([h[2] for h in held]).astype("<u4"), np.concatenate([h[3] for h in held])
+            by = np.argsort(key, kind="stable")
+            begin = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]])
+            count = np.maximum(np.diff(np.r_[begin, len(by)]), 1 + np.maximum.reduceat(again[by].astype(np.int64), begin))
+            several = np.zeros(len(by), bool)
+            several[by] = np.repeat(count > 1, np.diff(np.r_[begin, len(by)]))
+            one, many = np.flatnonzero(~several), by[begin[count > 1]]
+            sums = count[count > 1].astype("<u4")
+            keys = np.concatenate([key[one], key[many]])
+            bucket = (keys >> np.uint64(32)) % np.uint64(buckets)
             by = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
             found = []
             for k in np.flatnonzero(np.diff(cuts)):
                 part = by[cuts[k] : cuts[k + 1]]
-                found.append((int(k), key[part].tobytes(), packer.compress(uid[part].tobytes() + first[part].astype("<u4").tobytes() + again[part].astype(np.uint8).tobytes())))
-            for i in range(0, len(found), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*found[i : i + 256]), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "keys", "blob"])
+                lone, more = one[part[part < len(one)]], part[part >= len(one)] - len(one)
+                found.append((int(k), keys[part].tobytes(), packer.compress(uid[lone].tobytes() + first[lone].tobytes() + sums[more].tobytes()), None))
+            told = _by_uid(uid[several], first[several])
+            found += [(u % buckets, None, blob, u) for u, blob in zip(*(c.to_pylist() for c in told.columns), strict=True)]
+            for i in range(0, len(found), 1024):
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*found[i : i + 1024]), (pa.int32(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["bucket", "keys", "blob", "uid"])
 
         for b in small_batches(batches):
             for uid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -115,44 +136,49 @@ def _packed(rows: DataFrame, size: int, gram: int, buckets: int) -> DataFrame:
         if held:
             yield from out()
 
-    return rows.mapInArrow(run, "bucket int, keys binary, blob binary")
-
-
-#: Marks the first window of a run whose anchor occurs very often.
-HOT = 1 << 31
+    return rows.mapInArrow(run, "bucket int, keys binary, blob binary, uid long")
 
 
 def _repeated(packed: DataFrame, hot: int) -> DataFrame:
-    """(uid, firsts): the first windows of those runs whose anchor occurs elsewhere, or again within the run.
-
-    Those of anchors that occur more than ``hot`` times are marked.
-    """
+    """(uid, blob): the first windows of those runs whose anchor occurs elsewhere, or again within the run; and with a null
+    uid the anchors that occur more than ``hot`` times."""
 
     def run(group: pa.Table) -> pa.Table:
-        opener, keys, uids, firsts, agains = zstandard.ZstdDecompressor(), [], [], [], []
-        for key, blob in zip(group.column("keys").to_pylist(), group.column("blob").to_pylist(), strict=True):
-            n = len(key) // 8
-            raw = opener.decompress(blob)
+        opener, keys, uids, firsts, counts, told = zstandard.ZstdDecompressor(), [], [], [], [], []
+        for key, blob, uid in zip(*(group.column(c).to_pylist() for c in ("keys", "blob", "uid")), strict=True):
+            if key is None:
+                told.append((uid, blob))
+                continue
+            n, raw = len(key) // 8, opener.decompress(blob)
+            lone = (len(raw) - 4 * n) // 8
             keys.append(np.frombuffer(key, np.uint64))
-            uids.append(np.frombuffer(raw, np.int64, n))
-            firsts.append(np.frombuffer(raw, "<u4", n, 8 * n))
-            agains.append(np.frombuffer(raw, np.uint8, n, 12 * n))
-        key, uid, first, again = (np.concatenate(x) for x in (keys, uids, firsts, agains))
+            none = np.zeros(n - lone, np.int64)
+            uids.append(np.r_[np.frombuffer(raw, np.int64, lone), none - 1])
+            firsts.append(np.r_[np.frombuffer(raw, "<u4", lone, 8 * lone), none.astype("<u4")])
+            counts.append(np.r_[np.ones(lone, np.int64), np.frombuffer(raw, "<u4", n - lone, 12 * lone)])
+        if not keys:
+            return pa.table({"uid": pa.array([u for u, _ in told], pa.int64()), "blob": pa.array([x for _, x in told], pa.binary())})
+        key, uid, first, count = (np.concatenate(x) for x in (keys, uids, firsts, counts))
         by = np.argsort(key, kind="stable")
-        same = key[by][1:] == key[by][:-1]
-        keep = by[np.r_[False, same] | np.r_[same, False] | (again[by] > 0)]
-        begins = np.flatnonzero(np.r_[True, ~same]) if len(by) else np.zeros(0, np.int64)
-        often = np.zeros(len(by), np.int64)
-        often[by] = np.repeat(np.diff(np.r_[begins, len(by)]), np.diff(np.r_[begins, len(by)]))
-        first = first | np.where(often > hot, HOT, 0).astype("<u4")
-        order = keep[np.lexsort((first[keep] & (HOT - 1), uid[keep]))]
-        return _by_uid(uid[order], first[order])
+        begin = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]])
+        total = np.add.reduceat(count[by], begin)
+        often = np.repeat(total, np.diff(np.r_[begin, len(by)]))
+        ask = by[(often > 1) & (uid[by] >= 0)]
+        ask = ask[np.lexsort((first[ask], uid[ask]))]
+        own = _by_uid(uid[ask], first[ask])
+        very = key[by[begin[total > hot]]]
+        return pa.table(
+            {
+                "uid": pa.concat_arrays([own.column("uid").combine_chunks(), pa.array([u for u, _ in told], pa.int64()), pa.nulls(int(len(very) > 0), pa.int64())]),
+                "blob": pa.concat_arrays([own.column("blob").combine_chunks(), pa.array([x for _, x in told], pa.binary()), pa.array([very.tobytes()] if len(very) else [], pa.binary())]),
+            }
+        )
 
     return packed.groupBy("bucket").applyInArrow(run, "uid long, blob binary")
 
 
 def _by_uid(uid: np.ndarray, value: np.ndarray) -> pa.Table:
-    """A row for each uid (in order) with the packed values of its rows."""
+    """A row for each uid (equal ones adjacent) with the packed values of its rows."""
     first = np.flatnonzero(np.r_[True, uid[1:] != uid[:-1]]) if len(uid) else np.zeros(0, np.int64)
     return pa.table({"uid": pa.array(uid[first], pa.int64()), "blob": pa.array([v.tobytes() for v in np.split(value.astype("<u4"), first[1:])] if len(uid) else [], pa.binary())})
 
@@ -175,33 +201,48 @@ def _one_each(blobs: DataFrame, parts: int, merge: Callable[[list[bytes]], bytes
     return staged(blobs.groupBy(F.pmod(F.xxhash64("uid"), F.lit(parts)).alias("part")).applyInArrow(run, "uid long, blob binary"), name)
 
 
-def _segments(rows: DataFrame, repeated: DataFrame, size: int, gram: int, buckets: int) -> DataFrame:
-    """(bucket, segments): of a task's segments at repeated anchors each distinct one once, with its places."""
+def _segments(rows: DataFrame, repeated: DataFrame, hot: np.ndarray, size: int, gram: int, buckets: int) -> DataFrame:
+    """(bucket, segments, uid, blob): of a run's segments at repeated anchors each distinct one once; and, where segments is
+    null, the spans of a text that are known to repeat because the run has their segment several times.
+
+    A segment that the run has once comes with its place. ``hot`` anchors' windows are segments each, by their hashes.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(hot)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, held, volume = zstandard.ZstdCompressor(level=3), defaultdict(dict), 0
+        packer, held, volume, very = zstandard.ZstdCompressor(level=3), defaultdict(dict), 0, sent.value
 
         def out() -> Iterator[pa.RecordBatch]:
+            names = ["bucket", "segments", "uid", "blob"]
+            told: dict[int, list[int]] = defaultdict(list)
             for bucket, own in held.items():
                 keys = np.array([k for k, _ in own], np.uint64).tobytes()
-                bodies = [c for _, c in own]
-                places = list(own.values())
-                head = np.array([len(c) for c in bodies], "<u4").tobytes() + np.array([len(p) for p in places], "<u4").tobytes()
-                flat = np.array([x for p in places for x in p], np.int64)
-                raw = len(bodies).to_bytes(4, "little") + head + keys + flat.tobytes() + b"".join(bodies)
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([packer.compress(raw)], pa.binary())], names=["bucket", "segments"])
+                bodies, places = [c for _, c in own], list(own.values())
+                lone = [p[0] for p in places if len(p) == 1]
+                for body, at in zip(bodies, places, strict=True):
+                    if len(at) > 1:
+                        for uid, start in at:
+                            told[uid] += (start, start + max(len(body), size))
+                head = np.array([len(c) for c in bodies], "<u4").tobytes() + np.array([len(p) == 1 for p in places], "<u4").tobytes()
+                raw = len(bodies).to_bytes(4, "little") + head + keys + np.array(lone, np.int64).tobytes() + b"".join(bodies)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([packer.compress(raw)], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())], names=names)
+            uids = list(told)
+            for i in range(0, len(uids), 1024):
+                some = uids[i : i + 1024]
+                yield pa.RecordBatch.from_arrays([pa.array([u % buckets for u in some], pa.int32()), pa.nulls(len(some), pa.binary()), pa.array(some, pa.int64()), pa.array([np.array(told[u], "<u4").tobytes() for u in some], pa.binary())], names=names)
 
         for b in small_batches(batches):
             for uid, text, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 wanted = np.frombuffer(blob, "<u4")
                 key, first, last, _ = anchors(text, size, gram)
-                pick = np.searchsorted(first, wanted & (HOT - 1))
-                for k, low, high, often in zip(key[pick].tolist(), first[pick].tolist(), last[pick].tolist(), (wanted >= HOT).tolist(), strict=True):
+                pick = np.searchsorted(first, wanted)
+                for k, low, high, often in zip(key[pick].tolist(), first[pick].tolist(), last[pick].tolist(), np.isin(key[pick], very).tolist(), strict=True):
                     # the windows of a very frequent anchor meet by their own hashes, one by one
-                    parts = [(xxhash.xxh64_intdigest(w), w, s) for s in range(low, high + 1) for w in (text[s : s + size],)] if often else [(k, text[low : high + size], low)]
+                    parts = [(int.from_bytes(h[:8], "little"), h, s) for s in range(low, high + 1) for h in (xxhash.xxh3_128_digest(text[s : s + size]),)] if often else [(k, text[low : high + size], low)]
                     for own, content, start in parts:
                         at = held[(own >> 32) % buckets]
+                        volume += 16
                         if (own, content) in at:
                             at[own, content].append((uid, start))
                         else:
@@ -213,7 +254,7 @@ def _segments(rows: DataFrame, repeated: DataFrame, size: int, gram: int, bucket
                 volume = 0
         yield from out()
 
-    return _with(rows, repeated, "inner").select("uid", "text", "blob").mapInArrow(run, "bucket int, segments binary")
+    return _with(rows, repeated, "inner").select("uid", "text", "blob").mapInArrow(run, "bucket int, segments binary, uid long, blob binary")
 
 
 def _spans(segments: DataFrame, size: int, chunk: int) -> DataFrame:
@@ -221,17 +262,25 @@ def _spans(segments: DataFrame, size: int, chunk: int) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         opener = zstandard.ZstdDecompressor()
-        places: dict[tuple[int, bytes], list[np.ndarray]] = defaultdict(list)
-        for blob in group.column("segments").to_pylist():
+        places: dict[tuple[int, bytes], list[tuple[int, int]]] = defaultdict(list)
+        known: set[tuple[int, bytes]] = set()
+        told = []
+        for blob, uid, spans in zip(*(group.column(c).to_pylist() for c in ("segments", "uid", "blob")), strict=True):
+            if blob is None:
+                told.append((uid, spans))
+                continue
             raw = opener.decompress(blob)
             n = int.from_bytes(raw[:4], "little")
-            length, count = np.frombuffer(raw, "<u4", n, 4), np.frombuffer(raw, "<u4", n, 4 + 4 * n)
+            length, lone = np.frombuffer(raw, "<u4", n, 4), np.frombuffer(raw, "<u4", n, 4 + 4 * n)
             key = np.frombuffer(raw, np.uint64, n, 4 + 8 * n).tolist()
-            flat = np.frombuffer(raw, np.int64, 2 * int(count.sum()), 4 + 16 * n).reshape(-1, 2)
-            at = 4 + 16 * n + flat.nbytes
-            for k, c, p in zip(key, length.tolist(), np.split(flat, np.cumsum(count)[:-1]), strict=True):
-                places[k, raw[at : at + c]].append(p)
+            flat = np.frombuffer(raw, np.int64, 2 * int(lone.sum()), 4 + 16 * n).reshape(-1, 2).tolist()
+            at, place = 4 + 16 * n + 16 * len(flat), iter(flat)
+            for k, c, single in zip(key, length.tolist(), lone.tolist(), strict=True):
+                own = k, raw[at : at + c]
                 at += c
+                places[own] += [next(place)] if single else []
+                if not single:
+                    known.add(own)
         groups: dict[int, list[bytes]] = defaultdict(list)
         for k, content in places:
             groups[k].append(content)
@@ -240,20 +289,21 @@ def _spans(segments: DataFrame, size: int, chunk: int) -> DataFrame:
         def whole(k: int, content: bytes, starts: np.ndarray) -> None:
             cut = np.flatnonzero(np.diff(starts) > size)
             begin, end = starts[np.r_[0, cut + 1]], starts[np.r_[cut, len(starts) - 1]] + size
-            for p in places[k, content]:
-                uid.append(np.repeat(p[:, 0], len(begin)))
-                low.append((p[:, 1:] + begin).ravel())
-                high.append((p[:, 1:] + end).ravel())
+            p = np.array(places[k, content], np.int64).reshape(-1, 2)
+            uid.append(np.repeat(p[:, 0], len(begin)))
+            low.append((p[:, 1:] + begin).ravel())
+            high.append((p[:, 1:] + end).ravel())
 
         todo: list[tuple[int, bytes]] = []
         for k, contents in groups.items():
-            several = [sum(map(len, places[k, c])) > 1 for c in contents]
+            several = [len(places[k, c]) > 1 or (k, c) in known for c in contents]
             for c, all_of_it in zip(contents, several, strict=True):
-                if all_of_it:
-                    whole(k, c, np.arange(len(c) - size + 1))
-            # a lone window has nothing to be compared with
-            if not all(several) and (len(contents) > 1 or len(contents[0]) > size):
-                todo += [(k, c) for c in contents]
+                if all_of_it and places[k, c]:
+                    whole(k, c, np.arange(max(1, len(c) - size + 1)))
+            # a lone window has nothing to be compared with, nor has one that is here by its hash
+            bodies = [c for c in contents if len(c) >= size]
+            if not all(several) and bodies and (len(bodies) > 1 or len(bodies[0]) > size):
+                todo += [(k, c) for c in bodies]
         # chunks of whole anchors: equal windows are always in one
         start, volume = 0, 0
         for i, (k, c) in enumerate(todo):
@@ -261,12 +311,12 @@ def _spans(segments: DataFrame, size: int, chunk: int) -> DataFrame:
             if i + 1 == len(todo) or (volume > chunk and todo[i + 1][0] != k):
                 part = todo[start : i + 1]
                 for (own, content), starts in zip(part, repeated_starts([c for _, c in part], size), strict=True):
-                    if len(starts) and sum(map(len, places[own, content])) == 1:
+                    if len(starts) and len(places[own, content]) == 1 and (own, content) not in known:
                         whole(own, content, starts)
                 start, volume = i + 1, 0
-        if not uid:
-            return _by_uid(np.zeros(0, np.int64), np.zeros((0, 2)))
-        of, pairs = np.concatenate(uid), np.stack([np.concatenate(low), np.concatenate(high)], 1)
+        uid += [np.repeat(u, len(x) // 8) for u, x in told]
+        pairs = np.concatenate([np.stack([np.concatenate([*low, none]), np.concatenate([*high, none])], 1) for none in (np.zeros(0, np.int64),)] + [np.frombuffer(x, "<u4").reshape(-1, 2) for _, x in told])
+        of = np.concatenate([*uid, np.zeros(0, np.int64)])
         by = np.lexsort((pairs[:, 0], of))
         del places, groups, todo
         give_back()
@@ -288,11 +338,18 @@ def merged(blobs: list[bytes]) -> np.ndarray:
 
 def _found(rows: DataFrame, size: int, gram: int, bucket_bytes: int, chunk: int, hot: int) -> DataFrame:
     """Spans (uid, blob) of the rows' (uid, text) repeated bytes, disjoint and ascending."""
+    if size <= 16:
+        raise ValueError("strings have more than 16 bytes, those of a hash")
     volume = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     buckets = max(1, -(-volume // bucket_bytes))
-    repeated = _one_each(_repeated(_packed(rows, size, gram, buckets), hot), buckets, b"".join, "repeated-anchors")
-    spans = _spans(_segments(rows, repeated, size, gram, buckets), size, chunk)
-    return _one_each(spans, buckets, lambda blobs: merged(blobs).astype("<u4").tobytes(), "spans")
+    hot = max(hot, volume // (SPACING * MOST_HOT))
+    counted = staged(_repeated(_packed(rows, size, gram, buckets), hot), "anchors")
+    very = np.unique(np.frombuffer(b"".join(bytes(r.blob) for r in counted.where("uid is null").collect()), np.uint64))
+    repeated = _one_each(counted.where("uid is not null"), buckets, b"".join, "repeated-anchors")
+    spans = _spans(_segments(rows, repeated, very, size, gram, buckets), size, chunk)
+    found = _one_each(spans, buckets, lambda blobs: merged(blobs).astype("<u4").tobytes(), "spans")
+    dropped(counted, repeated)
+    return found
 
 
 def cut(text: bytes, blob: bytes | None) -> tuple[bytes, np.ndarray]:

@@ -14,6 +14,7 @@ words", CPM 2007), at a fraction of the suffixes.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -21,18 +22,24 @@ import numpy as np
 def suffix_array(s: list[int]) -> list[int]:
     """Starts of the suffixes of ``s`` (integers >= 0) in ascending order."""
     n = len(s)
-    slot = sorted(range(n), key=s.__getitem__)
-    group, size, last = [0] * n, [0] * n, -1
-    for k, i in enumerate(slot):
-        if k == 0 or s[i] != last:
-            first, last = k, s[i]
-        group[i] = first
-        size[first] += 1
-    place = [0] * n
-    for k, i in enumerate(slot):
-        place[i] = k
+    size, group = [0] * max(n, max(s, default=0) + 1), [0] * n
+    for x in s:
+        size[x] += 1
+    # a counting sort: each symbol's suffixes are a group, which is named by its first slot
+    first, at = [0] * len(size), 0
+    for x, m in enumerate(size):
+        first[x], at = at, at + m
+    slot, place, filled = [0] * n, [0] * n, first.copy()
+    for i, x in enumerate(s):
+        k = filled[x]
+        slot[k], place[i], group[i] = i, k, first[x]
+        filled[x] = k + 1
+    size = [0] * n
+    for g in group:
+        size[g] += 1
     before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-    smaller = [-1] * n
+    unknown = -2
+    smaller = [unknown] * n
     top = n
     while top:
         # before and after link the suffixes of unprocessed groups, so a lower one is a step away
@@ -54,15 +61,22 @@ def suffix_array(s: list[int]) -> list[int]:
                     size[g], size[e], group[p] = m - 1, 1, e
             top = at
             continue
-        own = sorted(slot[at:top])
+        own = slot[at:top]
         count: dict[int, int] = {}
         for i in own:
-            p = before[i]
+            if smaller[i] != unknown:
+                continue
+            # neighbours in one group share what is smaller than all of them
+            run, p = [i], before[i]
+            while p >= 0 and group[p] == at and smaller[p] == unknown:
+                run.append(p)
+                p = before[p]
             if p >= 0 and group[p] == at:
                 p = smaller[p]
-            smaller[i] = p
+            for j in run:
+                smaller[j] = p
             if p >= 0:
-                count[p] = count.get(p, 0) + 1
+                count[p] = count.get(p, 0) + len(run)
         for i in own:
             p, q = before[i], after[i]
             if q < n:
@@ -72,8 +86,10 @@ def suffix_array(s: list[int]) -> list[int]:
         top = at
         if not count:
             continue
-        most = max(count.values())
-        sets = [list(count)] if most == 1 else [[p for p, c in count.items() if c == want] for want in sorted(set(count.values()), reverse=True)]
+        # no count is above the group's size, so going through all of them downwards is linear too
+        sets: list[list[int]] = [[] for _ in range(max(count.values()))]
+        for p, c in count.items():
+            sets[-c].append(p)
         for chosen in sets:
             moved: dict[int, int] = {}
             for p in chosen:
@@ -163,12 +179,25 @@ def repeated_starts(contents: list[bytes], size: int) -> list[np.ndarray]:
         by = np.argsort(code, kind="stable")
         same = code[by][1:] == code[by][:-1]
         again = by[np.r_[False, same] | np.r_[same, False]]
-        found.append(at[fit[again]] - o)
+        start = at[fit[again]] - o
+        # what the block doesn't say, the bytes up to the boundary, is compared: equal hashes alone decide nothing
+        pairs = np.flatnonzero(same)
+        one, other = fit[by[pairs]], fit[by[pairs + 1]]
+        if (block[one] != block[other]).any() or (_common(text, at[one] - o, at[other] - o, o) < o).any():
+            start = _truly_repeated(text, start, size)
+        found.append(start)
     starts = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
     cuts = np.cumsum([0, *(len(c) for c in contents)])
     return [part - cut for part, cut in zip(np.split(starts, np.searchsorted(starts, cuts[1:-1])), cuts[:-1], strict=True)]
 
 
+def _truly_repeated(text: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Of these starts those whose ``size`` bytes another one has too, by the bytes themselves."""
+    strings = [text[i : i + size].tobytes() for i in starts.tolist()]
+    often = Counter(strings)
+    return starts[np.array([often[x] > 1 for x in strings], bool)]
+
+
 def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Common length of the bytes from a and from b on, ``most`` at most."""
     out = np.zeros(len(a), np.int64)
