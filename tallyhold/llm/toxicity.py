@@ -11,7 +11,8 @@ any corpus. The model that goes to the executors is one float for each bucket (t
 difference of the softmax's columns), because a mean followed by a linear map is a sum over words. Scoring is one
 scan with no shuffle; each new word costs its n-grams once for each task, each further one a dictionary look-up.
 
-Edge cases. Null and empty texts have the score of the bias alone. Null or missing labels are not learnt from;
+Edge cases. Null and empty texts have the score of the bias alone. A very long text is read whole: the mean is over all of its
+words. A score that equals the threshold is predicted toxic. Null or missing labels are not learnt from;
 of several labels of one document the largest counts. With no labelled row, or with one label only, the score
 of every text is the share of label 1, a millionth off 0 and 1 at least. Repeated rows are scored each. Columns other than the
 key and the text pass through unread, whatever their names; an empty table gives an empty result.
@@ -106,15 +107,15 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return fit([r.text for r in rows], [r.y for r in rows], count.get(1, 0) / max(1, total), seed=seed)
 
 
-def score_column(spark: SparkSession, model: Toxicity, text: Column) -> Column:
-    """The score of a text column, as a column of the same rows."""
+def score_column(spark: SparkSession, model: Toxicity, text: Column, words: int = 400_000) -> Column:
+    """The score of a text column, as a column of the same rows; a task keeps the sums of about ``words`` words at most."""
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     @tidy
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = sent.value
-        seen = RowTable(own.word, 2)
+        seen = RowTable(own.word, 2, words)
         for texts in batches:
             held = texts.tolist()
             parts = [own.scores(seen, held[i : i + 512]) for i in range(0, len(held), 512)]
@@ -129,10 +130,10 @@ def score(docs: DataFrame, model: Toxicity, *, id_col: str = "doc_id", text_col:
     return rows.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def clean(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", threshold: float = 0.3, **how) -> DataFrame:
+def clean(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", threshold: float = 0.3, words: int = 400_000, **how) -> DataFrame:
     """The rows of ``docs`` whose score is below the threshold, all columns as they are."""
     model = train(docs, labels, text_col=text_col, **how)
-    return docs.where(score_column(docs.sparkSession, model, F.col(text_col)) < threshold)
+    return docs.where(score_column(docs.sparkSession, model, F.col(text_col), words) < threshold)
 
 
 def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
