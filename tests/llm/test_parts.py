@@ -68,7 +68,7 @@ def test_ids_are_the_library_s(texts):
 
 
 _TOK = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-_CACHE = PieceCache(public_tokenizers.path("byte_bpe_50k.json"), cap=50)
+_CACHE = PieceCache(public_tokenizers.path("byte_bpe_50k.json"), room=10_000)
 
 
 def test_ids_of_both_libraries_are_equal():
@@ -175,7 +175,7 @@ def skippable(content):
 
 @pytest.mark.parametrize("chunk", [3, 100, 1 << 20])
 def test_frames(chunk):
-    raw = [warc.record(i, "u", b"p" * i * 50, "response", None, "2024-01-01T00:00:00Z") for i in range(5)]
+    raw = [warc.record(i, "u", b"p" * i * 50, i * 50, warc.digest32(b"p" * i * 50), None, "2024-01-01T00:00:00Z") for i in range(5)]
     content = b"WARC/1.1 WARC-Type: response Content-Type: application/http" * 20
     assert list(warc.frames(io.BytesIO(skippable(content) + archive(raw, content)), chunk)) == raw
     packed = zstandard.compress(content)
@@ -185,7 +185,7 @@ def test_frames(chunk):
 
 
 def test_damaged_archives_are_refused():
-    raw = warc.record(1, "u", b"payload", "response", None, "d")
+    raw = warc.record(1, "u", b"payload", 7, warc.digest32(b"payload"), None, "d")
     good = archive([raw])
     for bad in (good[:-3], b"junk" + good, good + b"more", skippable(b"abc")[:-1], good[:10] + b"\x00" + good[11:]):
         with pytest.raises(warc.ArchiveError):
@@ -204,3 +204,18 @@ def test_a_full_table_of_rows_goes_on_with_exact_rows():
     for _ in range(50):
         texts = [["x" * r.randint(1, 30) for _ in range(r.randint(0, 6))] for _ in range(4)]
         assert table.sums(texts).tolist() == [[float(sum(map(len, t))), float(len(t))] for t in texts]
+
+
+def test_a_vocabulary_without_byte_pieces_is_completed(tmp_path):
+    import sentencepiece
+
+    words = tmp_path / "words.txt"
+    words.write_text("a b ab\n" * 50)
+    made = tmp_path / "own"
+    sentencepiece.SentencePieceTrainer.train(input=str(words), model_prefix=str(made), vocab_size=8, hard_vocab_limit=False, model_type="bpe", minloglevel=2)
+    got = lattice.first_lattice(f"{made}.model")
+    assert sum(p.startswith("<0x") for p in got.pieces) == 256 and -1 not in got.bytes
+    assert np.exp(got.logs[np.isfinite(got.logs)]).sum() + np.exp(got.end) == pytest.approx(1.0)
+    assert got.log_marginal("é") < got.log_marginal("a") < 0
+    with pytest.raises(ValueError, match="no pieces"):
+        lattice.Lattice(["a"], np.log([0.5]), np.log(0.5)).log_marginal("b")
