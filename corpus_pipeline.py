@@ -1,7 +1,14 @@
 """Corpus pipeline: stages, each one operator of ``tallyhold.llm``, each working on all that the one before it kept.
 
 Each stage takes (spark, docs, sf_dir), docs being the table that the stage before it wrote, and returns a table of the same
-columns, the last one the packed pieces. Null texts stay until the packing, where they are the end id alone.
+columns, the last one the packed pieces.
+
+Edge cases. Null and empty texts are neither toxic nor near copies, have nothing to repeat and no window, and stay until the
+packing, where they are the end id alone. Very long texts are read whole by every stage. Of repeated rows, which are near copies
+of each other, one stays: that of the least doc_id (null last), of equal doc_ids the first; texts without words stay all. Ties:
+a score that equals the threshold is toxic, a similarity that equals 0.75 a link. An empty table gives an empty table of the same
+columns. Further columns, whatever their names, go through the first four stages as they are, but for ``n_chars``, which is
+counted anew where a text was cut.
 """
 
 from __future__ import annotations
@@ -9,12 +16,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyhold.llm import decontaminate, packing, repeats, setjoin, toxicity
-from tallyhold.llm.common import prepared, staged, table
+from tallyhold.llm.common import dropped, prepared, staged, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on their labelled part, doesn't reject."""
-    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"), words=150_000)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +44,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
     prepared(spark)
-    return packing.digest(packing.pack(docs, keep=200_000))
+    return packing.digest(packing.pack(docs, room=48_000_000, keep=0))
 
 
 STAGES = [
@@ -48,13 +55,15 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can't express the trained, hashing and packing stages; tests hold each against a brute-force version.
+#: SQL can't express the trained, hashing and packing stages; tests hold each against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each one's rows written and read again for the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each one's rows written and read again for the next, and deleted once that is written."""
+    docs, before = table(spark, sf_dir, "documents"), ()
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
+        dropped(*before)
+        before = (docs,)
     return STAGES[-1][1](spark, docs, sf_dir)
