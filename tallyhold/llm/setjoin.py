@@ -427,14 +427,15 @@ def _joining(head: int, linked: list[tuple[int, np.ndarray]], apart: list[tuple[
     """Links that join the sets of one block, beyond those to its lead: of a component that grows no more are given than join it.
 
     One component is fixed, the lead's or that of the first set apart, whichever is larger once that set has been held
-    against all. Sets in it needn't be held against the others: any set outside it is.
+    against all. Sets in it needn't be held against the others: any set outside it is, and so are those that link to the lead
+    where the lead's component isn't the fixed one, until it joins that.
     """
     if not apart:
         return
     lists, joined, home = _Lists([*linked, *apart]), _Joined(), None
     for kid, _ in linked:
         joined.join(kid, head)
-    for kid, own in apart:
+    for kid, own in [*apart, *linked]:
         if home is not None and joined.find(kid) == joined.find(home):
             continue
         near = [m for m in lists.links(kid, own, t) if joined.join(kid, m)]
