@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import re
@@ -40,18 +41,34 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back: cuts the lineage, survives lost executors."""
+    """``df`` written as Parquet in the shared folder and read back: cuts the lineage, survives lost executors.
+
+    Files of the shuffles that it took are deleted with it, not only when the driver collects its garbage.
+    """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path, **options)
+    with freed(df.sparkSession):
+        df.write.parquet(path, **options)
     got = df.sparkSession.read.schema(df.schema).parquet(path)
     got.staged_at = path
     return got
 
 
-def dropped(*tables: DataFrame) -> None:
-    """Delete what ``staged`` has written for these tables, once nothing reads them any more."""
+@contextlib.contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Queries in here delete the files of their shuffles when they end."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def dropped(*tables: DataFrame, below: str = "") -> None:
+    """Delete what ``staged`` has written for these tables, or a folder of it, once nothing reads that any more."""
     for df in tables:
-        jvm, path = df.sparkSession.sparkContext._jvm, df.staged_at
+        jvm, path = df.sparkSession.sparkContext._jvm, f"{df.staged_at}/{below}"
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 

@@ -14,10 +14,12 @@ and yet no component is lost: two sets that share a list share a lead.
 
 Scale. Equal sets become one within each task before anything is shuffled by shingle. The counts of all shingles are
 taken by a shuffle of packed, sorted, difference-coded hashes; the order of listing needs their magnitude only, which is
-kept in a table of fixed size (``CELLS`` half bytes, the most frequent shingle of each cell), so what is broadcast doesn't
-grow. Where more shingles repeat than half of the cells, the table begins at the magnitude from which few enough do: the
-very frequent ones stay apart from all others, however large the corpus. A cell that shingles share changes work, never results. Postings are shuffled packed, a blob for each task and bucket; buckets are cut to ``bucket_rows`` postings, and lists of
+broadcast in a table of fixed size (``CELLS`` half bytes, the most frequent shingle of each cell; a cell that shingles share
+changes work, never results). Where more shingles repeat than half of the cells, nothing is broadcast: each partition of the texts
+is sent the magnitudes of its own shingles that repeat, in a file that its task reads, so their rank is kept however large the
+corpus. Postings are shuffled packed, a blob for each task and bucket; buckets are cut to ``bucket_rows`` postings, and lists of
 shingles that 2^``hot_level`` sets or more have are spread over buckets, and met by an aggregate and a join.
+Packed hashes are deleted once they are counted, and files of a shuffle once what is made of it is written.
 Whole sets are fetched only for texts that have a candidate (a broadcast of their places up to ``BROADCAST_BYTES``, a shuffle beyond).
 Members of a lead are met in blocks of about ``block_bytes`` of sets. Components are found by alternating large and small stars
 (Kiveris et al., "Connected components in MapReduce and beyond", SoCC 2014), in a number of rounds that grows with the logarithm
@@ -42,12 +44,14 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import pyarrow.parquet
 import xxhash
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhold.llm.common import dropped, give_back, small_batches, staged, tidy, without
+from tallyhold.llm.common import dropped, freed, give_back, small_batches, staged, tidy, without
 
 BROADCAST_BYTES = 32_000_000
 SALTS = 64
@@ -174,13 +178,13 @@ def _bits(texts: DataFrame) -> tuple[int, int]:
 
 
 def _members(texts: DataFrame, n: int, bits: int, part_bits: int, seed: int) -> DataFrame:
-    """(uid, doc_id, size, kid, more) of each row; and, in rows of their own, (bucket, blob) of counted shingles."""
+    """(uid, doc_id, size, kid, more) of each row; and, in rows of their own and ``counted``, (bucket, part, blob) of counted shingles."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, known, held, size = Shingler(n), set(), [], 0
+        shingler, known, held, size, part = Shingler(n), set(), [], 0, 0
         packer = zstandard.ZstdCompressor(level=1)
-        names = ["uid", "doc_id", "size", "kid", "more", "bucket", "blob"]
+        names = ["uid", "doc_id", "size", "kid", "more", "bucket", "part", "blob", "counted"]
 
         def counted() -> pa.RecordBatch:
             tokens = np.concatenate([*held, np.zeros(0, np.uint64)])
@@ -191,16 +195,17 @@ def _members(texts: DataFrame, n: int, bits: int, part_bits: int, seed: int) ->
             cuts = np.searchsorted(tokens, np.arange((1 << part_bits) + 1, dtype=np.uint64) << np.uint64(bits - part_bits))
             bucket, blob = [], []
             for k in np.flatnonzero(np.diff(cuts)):
-                part, times = tokens[cuts[k] : cuts[k + 1]], np.minimum(sets[cuts[k] : cuts[k + 1]], 65535)
+                own, times = tokens[cuts[k] : cuts[k + 1]], np.minimum(sets[cuts[k] : cuts[k + 1]], 65535)
                 more = np.flatnonzero(times > 1)
-                raw = len(part).to_bytes(4, "little") + len(more).to_bytes(4, "little") + _planes(np.diff(part, prepend=np.uint64(0)), 8) + more.astype("<u4").tobytes() + times[more].astype("<u2").tobytes()
+                raw = len(own).to_bytes(4, "little") + len(more).to_bytes(4, "little") + _planes(np.diff(own, prepend=np.uint64(0)), 8) + more.astype("<u4").tobytes() + times[more].astype("<u2").tobytes()
                 bucket.append(int(k))
                 blob.append(packer.compress(raw))
             none = pa.nulls(len(bucket), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(bucket, pa.int32()), pa.array(blob, pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(bucket, pa.int32()), pa.array([part] * len(bucket), pa.int32()), pa.array(blob, pa.binary()), pa.array([True] * len(bucket), pa.bool_())], names=names)
 
         for b in small_batches(batches):
             sizes, kids, more = [], [], []
+            part = part_of(b)
             for text in b.column(2).to_pylist():
                 tokens = shingler(text)
                 kid, rest = identity(tokens, seed)
@@ -211,7 +216,7 @@ def _members(texts: DataFrame, n: int, bits: int, part_bits: int, seed: int) ->
                     known.add(kid)
                     held.append(tokens)
                     size += len(tokens)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(kids, pa.int64()), pa.array(more, pa.int64()), pa.nulls(len(kids), pa.int32()), pa.nulls(len(kids), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(kids, pa.int64()), pa.array(more, pa.int64()), pa.nulls(len(kids), pa.int32()), pa.nulls(len(kids), pa.int32()), pa.nulls(len(kids), pa.binary()), pa.array([False] * len(kids), pa.bool_())], names=names)
             if size > 2_000_000:
                 yield counted()
                 known.clear()
@@ -219,27 +224,31 @@ def _members(texts: DataFrame, n: int, bits: int, part_bits: int, seed: int) ->
                 size = 0
         yield counted()
 
-    return staged(texts.mapInArrow(run, "uid long, doc_id long, size long, kid long, more long, bucket int, blob binary"), "sets")
+    return staged(texts.mapInArrow(run, "uid long, doc_id long, size long, kid long, more long, bucket int, part int, blob binary, counted boolean"), "sets", partitionBy="counted")
 
 
-def _levels(blobs: DataFrame, bits: int, part_bits: int) -> tuple[np.ndarray, int, float]:
-    """The table of levels, its base, and the share of shingles that several sets have.
+def _counted(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of packed shingles: the shingles, the sets that have them, and how many each blob has."""
+    opener, tokens, sets = zstandard.ZstdDecompressor(), [], []
+    for blob in blobs:
+        raw = opener.decompress(blob)
+        n, m = int.from_bytes(raw[:4], "little"), int.from_bytes(raw[4:8], "little")
+        tokens.append(np.cumsum(_unplanes(raw[8 : 8 + 8 * n], 8)))
+        times = np.ones(n, np.int64)
+        times[np.frombuffer(raw, "<u4", m, 8 + 8 * n)] = np.frombuffer(raw, "<u2", m, 8 + 8 * n + 4 * m)
+        sets.append(times)
+    return np.concatenate(tokens), np.concatenate(sets), np.array([len(x) for x in tokens])
 
-    A cell is half a byte: the log2 of the most sets that one of its shingles is in, less the base, plus 1; 0 below the base. The
-    base is the least (1 at least) at which half of the cells are used at most: a set lists a quarter of its shingles, so of those
-    that no other set has enough keep the level 0.
+
+def _levels(blobs: DataFrame, bits: int, part_bits: int) -> tuple[np.ndarray | None, float]:
+    """The table of levels (none, if it had more than half of its cells used), and the share of shingles that several sets have.
+
+    A cell is half a byte: the log2 of the most sets that one of its shingles is in; 0 if no other set has one. A set lists a quarter
+    of its shingles, so while half of the cells are free enough of those that no other set has keep the level 0.
     """
 
     def run(group: pa.Table) -> pa.Table:
-        opener, tokens, sets = zstandard.ZstdDecompressor(), [], []
-        for blob in group.column("blob").to_pylist():
-            raw = opener.decompress(blob)
-            n, m = int.from_bytes(raw[:4], "little"), int.from_bytes(raw[4:8], "little")
-            tokens.append(np.cumsum(_unplanes(raw[8 : 8 + 8 * n], 8)))
-            times = np.ones(n, np.int64)
-            times[np.frombuffer(raw, "<u4", m, 8 + 8 * n)] = np.frombuffer(raw, "<u2", m, 8 + 8 * n + 4 * m)
-            sets.append(times)
-        token, times = np.concatenate(tokens), np.concatenate(sets)
+        token, times, _ = _counted(group.column("blob").to_pylist())
         by = np.argsort(token)
         token, times = token[by], times[by]
         first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
@@ -248,22 +257,21 @@ def _levels(blobs: DataFrame, bits: int, part_bits: int) -> tuple[np.ndarray, in
         bucket = group.column("bucket")[0].as_py()
         cell = (token[first[several]] >> np.uint64(bits - CELL_BITS)).astype(np.int64) - (bucket << (CELL_BITS - part_bits))
         level = np.zeros(CELLS >> part_bits, np.uint8)
-        own = np.log2(times[several]).astype(np.uint8)
-        np.maximum.at(level, cell, own)
-        used = np.bincount(own, minlength=64).tolist()
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "levels": pa.array([zstandard.compress(level.tobytes(), 1)], pa.binary()), "used": pa.array([used], pa.list_(pa.int64())), "several": pa.array([int(times[several].sum())], pa.int64()), "all": pa.array([int(times.sum())], pa.int64())})
-
-    table, used, several, whole, part = np.zeros(CELLS, np.uint8), np.zeros(64, np.int64), 0, 0, CELLS >> part_bits
-    for r in blobs.groupBy("bucket").applyInArrow(run, "bucket int, levels binary, used array<long>, several long, all long").toLocalIterator():
-        table[r.bucket * part : (r.bucket + 1) * part] = np.frombuffer(zstandard.decompress(r["levels"]), np.uint8)
-        used += r.used
-        several, whole = several + r.several, whole + r["all"]
-    above = used[::-1].cumsum()[::-1]
-    base = max(1, int(np.argmax(above <= CELLS // 2)))
-    for i in range(0, CELLS, 1 << 22):
-        own = table[i : i + (1 << 22)]
-        own[:] = np.where(own < base, 0, np.minimum(15, own - np.uint8(base) + np.uint8(1)))
-    return table[::2] | (table[1::2] << 4), base, several / max(1, whole)
+        np.maximum.at(level, cell, np.log2(times[several]).astype(np.uint8))
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "levels": pa.array([zstandard.compress(level.tobytes(), 1)], pa.binary()), "used": pa.array([int(several.sum())], pa.int64()), "several": pa.array([int(times[several].sum())], pa.int64()), "all": pa.array([int(times.sum())], pa.int64())})
+
+    with freed(blobs.sparkSession):
+        found = blobs.groupBy("bucket").applyInArrow(run, "bucket int, levels binary, used long, several long, all long").collect()
+    used, several, whole = (sum(r[c] for r in found) for c in ("used", "several", "all"))
+    table, part = None, CELLS >> part_bits
+    if used <= CELLS // 2:
+        table = np.zeros(CELLS, np.uint8)
+        for r in found:
+            table[r.bucket * part : (r.bucket + 1) * part] = np.frombuffer(zstandard.decompress(r["levels"]), np.uint8)
+        for i in range(0, CELLS, 1 << 22):
+            np.minimum(table[i : i + (1 << 22)], 15, out=table[i : i + (1 << 22)])
+        table = table[::2] | (table[1::2] << 4)
+    return table, several / max(1, whole)
 
 
 def _level(table: np.ndarray, tokens: np.ndarray) -> np.ndarray:
@@ -272,20 +280,68 @@ def _level(table: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return (table[cell >> np.uint64(1)] >> ((cell & np.uint64(1)).astype(np.uint8) << 2)) & np.uint8(15)
 
 
+def part_of(batch: pa.RecordBatch) -> int:
+    """The partition whose rows these are, by the number of the first (``monotonically_increasing_id``); 0 without rows."""
+    return batch.column(0)[0].as_py() >> 33 if batch.num_rows else 0
+
+
+def _own_levels(blobs: DataFrame) -> str:
+    """Where a file for each partition of the texts has the levels of those of its shingles that several sets have."""
+
+    def run(group: pa.Table) -> pa.Table:
+        token, times, sizes = _counted(group.column("blob").to_pylist())
+        token, at = np.unique(token, return_inverse=True)
+        times = np.bincount(at, times).astype(np.int64)
+        part = np.repeat(group.column("part").to_numpy(), sizes)
+        several = times[at] > 1
+        part, at = part[several], at[several]
+        by = np.lexsort((at, part))
+        part, at = part[by], at[by]
+        rows = []
+        for own in np.split(np.arange(len(at)), np.flatnonzero(np.diff(part)) + 1) if len(at) else ():
+            some = np.unique(at[own])
+            raw = _planes(np.diff(token[some], prepend=np.uint64(0)), 8) + np.log2(times[some]).astype(np.uint8).tobytes()
+            rows.append((int(part[own[0]]), len(some), zstandard.compress(raw, 1)))
+        part, n, blob = zip(*rows, strict=True) if rows else ((), (), ())
+        bucket = group.column("bucket")[0].as_py()
+        return pa.table({"part": pa.array(part, pa.int32()), "bucket": pa.array([bucket] * len(part), pa.int32()), "n": pa.array(n, pa.int32()), "blob": pa.array(blob, pa.binary())})
+
+    rows = blobs.groupBy("bucket").applyInArrow(run, "part int, bucket int, n int, blob binary")
+    return staged(rows.repartition("part").sortWithinPartitions("part", "bucket"), "own-levels", partitionBy="part").staged_at
+
+
+def _read_levels(path: str, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counted bits, ascending, of the shingles that ``_own_levels`` has written for a partition, and their levels."""
+    store, at = fs.FileSystem.from_uri(f"{path}/part={part}")
+    tokens, levels = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
+    rows = []
+    for file in store.get_file_info(fs.FileSelector(at, allow_not_found=True)):
+        if file.path.endswith(".parquet"):
+            with store.open_input_file(file.path) as f:
+                got = pa.parquet.ParquetFile(f).read(["bucket", "n", "blob"])
+            rows += zip(*(got.column(c).to_pylist() for c in ("bucket", "n", "blob")), strict=True)
+    for _, n, blob in sorted(rows, key=lambda r: r[0]):
+        raw = zstandard.decompress(blob)
+        tokens.append(np.cumsum(_unplanes(raw[: 8 * n], 8)))
+        levels.append(np.frombuffer(raw, np.uint8, n, 8 * n))
+    return np.concatenate(tokens), np.concatenate(levels)
+
+
 #: Marks the postings of very long lists, which lie in several buckets.
 HOT = np.uint32(1 << 31)
 
 
-def _postings(texts: DataFrame, n: int, t: int, light: int, levels: np.ndarray, buckets: int, very: int, seed: int) -> DataFrame:
+def _postings(texts: DataFrame, n: int, t: int, light: int, levels: np.ndarray | str, bits: int, buckets: int, very: int, seed: int) -> DataFrame:
     """Packed postings: bucket, keys, ids of the sets that have any, and a blob of each posting's set.
 
-    Lists of shingles of the level ``very`` of the table, or more, are spread over buckets by their sets.
+    ``levels``: the table, or where the levels of each partition lie. Lists of shingles of the level ``very``, or more, are spread
+    over buckets by their sets.
     """
     sent = texts.sparkSession.sparkContext.broadcast(levels)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
+        table, own = sent.value, None
         shingler, known, keys, ids, hot, held = Shingler(n), set(), [], [], [], 0
         packer = zstandard.ZstdCompressor(level=1)
 
@@ -305,7 +361,17 @@ def _postings(texts: DataFrame, n: int, t: int, light: int, levels: np.ndarray,
                 rows.append((int(k), key[part].tobytes(), kid[sets].tobytes(), packer.compress((at.astype("<u4") | np.where(often[part], HOT, np.uint32(0))).tobytes())))
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "keys", "kids", "blob"])
 
+        def level_of(tokens: np.ndarray) -> np.ndarray:
+            if own is None:
+                return _level(table, tokens)
+            counted = tokens >> np.uint64(64 - bits)
+            at = np.searchsorted(own[0], counted)
+            at[at == len(own[0])] = 0
+            return np.where(own[0][at] == counted, own[1][at], np.uint8(0)) if len(own[0]) else np.zeros(len(tokens), np.uint8)
+
         for b in small_batches(batches):
+            if isinstance(table, str) and own is None and b.num_rows:
+                own = _read_levels(table, part_of(b))
             for text in b.column(2).to_pylist():
                 tokens = shingler(text)
                 size = len(tokens)
@@ -316,7 +382,7 @@ def _postings(texts: DataFrame, n: int, t: int, light: int, levels: np.ndarray,
                 mine = subset_keys(tokens, t, light) if size < light else []
                 often = np.zeros(len(mine), bool)
                 if max(partners(size, t)) >= light:
-                    level = _level(table, tokens)
+                    level = level_of(tokens)
                     # tokens ascend, and a stable sort keeps that within a level
                     pick = np.argsort(level, kind="stable")[: prefix(size, t)]
                     mine = np.concatenate([np.array(mine, np.uint64), tokens[pick]])
@@ -552,7 +618,7 @@ def _labelled(docs: DataFrame, *, n: int = 5, t: int = 75, id_col: str = "doc_id
     bits, part_bits = _bits(texts)
     for seed in range(4):
         both = _members(texts, n, bits, part_bits, seed)
-        members = both.where("uid is not null").select("uid", "doc_id", "size", "kid", "more").withColumn("salt", F.when(F.col("size") > 0, F.pmod(F.xxhash64("uid"), F.lit(SALTS))))
+        members = both.where("not counted").select("uid", "doc_id", "size", "kid", "more").withColumn("salt", F.when(F.col("size") > 0, F.pmod(F.xxhash64("uid"), F.lit(SALTS))))
         by_salt = members.where("size > 0").groupBy("kid", "salt").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("label"), F.first("size").alias("size"), F.min("more").alias("least"), F.max("more").alias("most"))
         kinds = staged(by_salt.groupBy("kid").agg(F.min("label").alias("label"), F.first("size").alias("size"), (F.min("least") != F.max("most")).alias("mixed")).withColumn("uid", F.col("label.uid")), "kinds")
         if kinds.where("mixed").isEmpty():
@@ -561,10 +627,14 @@ def _labelled(docs: DataFrame, *, n: int = 5, t: int = 75, id_col: str = "doc_id
     else:
         raise ValueError("different sets share their 64-bit ids with each of four seeds")
     postings = kinds.agg(F.coalesce(F.sum(F.floor(F.col("size") * (100 - t) / 100) + 1), F.lit(0))).first()[0]
-    levels, base, repeats = _levels(both.where("bucket is not null").select("bucket", "blob"), bits, part_bits)
+    blobs = both.where("counted").select("bucket", "part", "blob")
+    levels, repeats = _levels(blobs, bits, part_bits)
+    if levels is None:
+        levels = _own_levels(blobs)
+    dropped(both, below="counted=true")
     light = boundary(t, repeats)
-    hot = min(15, max(1, hot_level - base + 1))
-    packed = _postings(texts, n, t, light, levels, max(1, -(-int(postings) // bucket_rows)), hot, seed)
+    hot = min(15, max(1, hot_level))
+    packed = _postings(texts, n, t, light, levels, bits, max(1, -(-int(postings) // bucket_rows)), hot, seed)
     leads = _leads(packed)
     roots = _stars(_links(leads, texts, kinds, n, t, block_bytes))
     own = kinds.select("kid", "label").join(roots.select(F.col("a").alias("kid"), F.col("b").alias("root")), "kid", "left").withColumn("root", F.coalesce("root", "kid"))
