@@ -101,7 +101,7 @@ def materialise(docs: DataFrame, path: str | None = None, *, size: int = 2048, p
 
     @tidy
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, packer, first = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=6), 0
+        part, packer, first = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=3), 0
         found = sequences(batches, tok, width, size, end_id, pad_id, keep)
         while held := list(islice(found, group)):
             ids, real, docs_of = zip(*held, strict=True)
@@ -120,7 +120,7 @@ def materialise(docs: DataFrame, path: str | None = None, *, size: int = 2048, p
 
     @tidy
     def place(batches: Iterator[pa.RecordBatch], most: int = 12_000) -> Iterator[pa.RecordBatch]:
-        opener, packer, slots, real, docs_of, records = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=6), [], [], [], []
+        opener, packer, slots, real, docs_of, records = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3), [], [], [], []
 
         def out() -> Iterator[pa.RecordBatch]:
             slot = np.array(slots, np.int64)

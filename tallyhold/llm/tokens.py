@@ -106,7 +106,8 @@ class PieceCache:
             new.update([parts[i + 1] for i in lack])
             ids.append(rest)
             lacking.append(lack)
-        new.difference_update(self.known)
+        # difference_update would go through all that is known, each time
+        new = {p for p in new if p not in self.known}
         self.size += self._bytes(new)
         opening = [p for p in new if p[:1] == LINE]
         whole = [p for p in new.difference(opening) if p and not p[0].isspace() and not p[-1].isspace()]

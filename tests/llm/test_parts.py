@@ -219,3 +219,17 @@ def test_a_vocabulary_without_byte_pieces_is_completed(tmp_path):
     assert got.log_marginal("é") < got.log_marginal("a") < 0
     with pytest.raises(ValueError, match="no pieces"):
         lattice.Lattice(["a"], np.log([0.5]), np.log(0.5)).log_marginal("b")
+
+
+class _Known(dict):
+    def __iter__(self):
+        raise AssertionError("all that is known is gone through")
+
+
+def test_new_parts_are_found_without_going_through_all_known_ones():
+    """op8_training_order: a batch costs what it has, however much is known."""
+    cache = PieceCache(public_tokenizers.path("byte_bpe_50k.tiktoken"), 2)
+    cache.known = _Known()
+    whole = PieceCache(public_tokenizers.path("byte_bpe_50k.tiktoken"), 2)
+    for texts in (["one two three", None], ["two three four\nfive", "six two"]):
+        assert cache.encode(texts) == whole.encode(texts)
