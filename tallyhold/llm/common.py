@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import ctypes
 import functools
 import re
@@ -16,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyhold.sources.shuffles import freed
+
 #: The white space that separates words in the word contracts: tab to carriage return, and space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -53,18 +54,6 @@ def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     return got
 
 
-@contextlib.contextmanager
-def freed(spark: SparkSession) -> Iterator[None]:
-    """Queries in here delete the files of their shuffles when they end."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
 def dropped(*tables: DataFrame, below: str = "") -> None:
     """Delete what ``staged`` has written for these tables, or a folder of it, once nothing reads that any more."""
     for df in tables:

@@ -21,6 +21,7 @@ from tallyhold.operators import chain, chunking, inventory, projection, scan
 from tallyhold.schemas import CATALOG, LOG, SYNCED
 from tallyhold.sources import files
 from tallyhold.sources.config import Config
+from tallyhold.sources.shuffles import freed
 from tallyhold.sources.store import Store
 
 
@@ -96,6 +97,11 @@ class Engine:
 
     def run_pass(self, *, backup: bool = True) -> PassSummary:
         """Scan all roots, log what changed, and back up all that isn't (unless told otherwise)."""
+        with freed(self.spark):
+            total = self._scan()
+        return self._with_backup(total) if backup else total
+
+    def _scan(self) -> PassSummary:
         total = PassSummary()
         for root in self.config.roots:
             catalog = self.catalog()
@@ -117,7 +123,7 @@ class Engine:
             self.store.replace(f"catalog-{self.machine}", {"catalog": scan.next_catalog(catalog, found, got, root, self.clock.current)})
             self._forget(*staged)
             total = PassSummary(total.files_seen + done.files_seen, total.bytes_seen + done.bytes_seen, total.observed + n.get("observed", 0), total.vanished + n.get("vanished", 0), total.unreadable + bad)
-        return self._with_backup(total) if backup else total
+        return total
 
     def run_pass_metadata_only(self) -> PassSummary:
         return self.run_pass(backup=False)
@@ -131,22 +137,26 @@ class Engine:
         work = inventory.backup_worklist(found.facts, found.locations, self.machine)
         data = files.loaded(work).persist()
         try:
-            if data.isEmpty():
-                return summary
-            found = chunking.stored(chunking.chunks(data, self.config.average_chunk), self.transform).persist()
-            counts = chunking.accounting(found, self.store.chunk_ids()).first()
-            self.store.put_chunks(found)
-            rows = chunking.refs(found, self.clock.tick())
-            # a content without bytes has no chunk; one row stands for its manifest
-            none = data.where(F.octet_length("data") == 0).select("content")
-            self.store.put_manifests(rows.unionByName(none.select("content", F.lit(None).cast("int").alias("ordinal"), F.lit(0).cast("long").alias("total_size"), F.lit(1).alias("version"), F.lit(self.clock.current).cast("long").alias("created_at")), allowMissingColumns=True))
-            n = data.count()
-            self.append(data.select(F.lit("backed").alias("action"), "content"))
-            found.unpersist()
-            return PassSummary(summary.files_seen, summary.bytes_seen, summary.observed, summary.vanished, summary.unreadable, n, counts.chunks_total, counts.chunks_uploaded, counts.bytes_uploaded)
+            with freed(self.spark):
+                return self._stored(data, summary)
         finally:
             data.unpersist()
 
+    def _stored(self, data: DataFrame, summary: PassSummary) -> PassSummary:
+        if data.isEmpty():
+            return summary
+        found = chunking.stored(chunking.chunks(data, self.config.average_chunk), self.transform).persist()
+        counts = chunking.accounting(found, self.store.chunk_ids()).first()
+        self.store.put_chunks(found)
+        rows = chunking.refs(found, self.clock.tick())
+        # a content without bytes has no chunk; one row stands for its manifest
+        none = data.where(F.octet_length("data") == 0).select("content")
+        self.store.put_manifests(rows.unionByName(none.select("content", F.lit(None).cast("int").alias("ordinal"), F.lit(0).cast("long").alias("total_size"), F.lit(1).alias("version"), F.lit(self.clock.current).cast("long").alias("created_at")), allowMissingColumns=True))
+        n = data.count()
+        self.append(data.select(F.lit("backed").alias("action"), "content"))
+        found.unpersist()
+        return PassSummary(summary.files_seen, summary.bytes_seen, summary.observed, summary.vanished, summary.unreadable, n, counts.chunks_total, counts.chunks_uploaded, counts.bytes_uploaded)
+
     def restore(self, content: str, out: str) -> None:
         """Write the content to a file, once all of it has been verified.
 
